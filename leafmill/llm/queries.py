@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import notices, tokens
+from leafmill.llm import lookalike, mojibake, notices, tokens
 from leafmill.session import table
 
 
@@ -17,11 +17,27 @@ def p1_kept_lines(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("book_id", "page", "block_seq", "line_seq", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_spans(table(spark, d, "span_facts"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_spans(table(spark, d, "span_facts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_places(table(spark, d, "span_facts"), table(spark, d, "elements"))
+
+
+def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent_texts(table(spark, d, "span_facts"), table(spark, d, "elements"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
 
-_QUERIES = [p1_found, p1_kept_lines, p7_ids]
+_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p7_ids]
 
 
 def queries() -> dict:
