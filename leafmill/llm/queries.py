@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import lookalike, mojibake, notices, tokens
+from leafmill.llm import lookalike, mojibake, notices, quality, tokens
 from leafmill.session import table
 
 
@@ -33,11 +33,19 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_texts(table(spark, d, "span_facts"), table(spark, d, "elements"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "elements"), table(spark, d, "common_words"))
+
+
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "elements"), table(spark, d, "common_words")).drop("text")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
 
-_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p7_ids]
+_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p4_found, p4_statistics, p7_ids]
 
 
 def queries() -> dict:
