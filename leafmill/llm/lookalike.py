@@ -14,10 +14,10 @@ import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.mojibake import SPAN_KEY, garbled_spans
+from leafmill.session import cut
 
 PLACE_KEY = ["place", "book_id", "k1", "k2", "k3", "k4"]
 
@@ -92,8 +92,14 @@ SUSPECT = (
 _WIDE_SIGN = r"[！-／：-＠［-｀｛-～]"
 
 
+#: First look: most texts hold nothing beyond these few ranges, and a short
+#: class is tested far faster than the full one.
+_BEYOND = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff‐-‧]"
+
+
 def is_suspect(text: Column) -> Column:
-    return F.coalesce(text.rlike(SUSPECT) | (text.rlike(_WIDE_SIGN) & ~text.rlike(_EASTERN)), F.lit(False))
+    full = text.rlike(SUSPECT) | (text.rlike(_WIDE_SIGN) & ~text.rlike(_EASTERN))
+    return F.coalesce(text.rlike(_BEYOND) & full, F.lit(False))
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -106,107 +112,89 @@ def _code_points(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), 0)
 
 
-def consistent(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``texts`` with ``plain``: the one form of each text.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿͰ-ͽͿ-ΆΈ-Ͽἀ-῿Ѐ-ҁҊ-ԯ̀-ͯ"
+_MIXED = r"[A-Za-zÀ-ɏḀ-ỿ][̀-ͯ]*[Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ][̀-ͯ]*[A-Za-zÀ-ɏḀ-ỿ]"
+
+
+def one_script(word: Column) -> Column:
+    """A word whose letters of one script all have a twin in the other is
+    brought to that other script; all other words stay as they are."""
+
+    def count(chars: str, but: str = "") -> Column:
+        kept = F.regexp_replace(word, f"[^{chars}]" + (f"|[{but}]" if but else ""), "")
+        return F.length(kept)
+
+    latin, greek, cyr = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͽͿ-ΆΈ-Ͽἀ-῿", "Ѐ-ҁҊ-ԯ"
+    n_latin, n_greek, n_cyr = count(latin), count(greek), count(cyr)
+    own_latin = count(latin, "".join(sorted(set(_CYRILLIC_AS + _GREEK_AS))))
+    own_greek, own_cyr = count(greek, _GREEK), count(cyr, _CYRILLIC)
+    to_latin = (own_greek == 0) & (own_cyr == 0) & ((own_latin > 0) | (n_latin >= n_greek + n_cyr))
+    to_cyr = (own_latin == 0) & (own_greek == 0) & (n_cyr > 0)
+    to_greek = (own_latin == 0) & (own_cyr == 0) & (n_greek > 0)
+    return (
+        F.when(~word.rlike(_MIXED), word)
+        .when(to_latin, F.translate(word, _CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS))
+        .when(to_cyr, F.translate(word, _CYRILLIC_AS, _CYRILLIC))
+        .when(to_greek, F.translate(word, _GREEK_AS, _GREEK))
+        .otherwise(word)
+    )
+
+
+def _rejoined(parts: DataFrame, key: list[str], part: str) -> DataFrame:
+    return parts.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", part)))[part], "").alias("plain"))
 
-    ``key`` identifies a row.  Null texts stay null, plain ones are passed on
-    without work; a very long text is only one of many groups, exploded whole.
+
+def consistent(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """The texts of ``texts`` that hold other than plain characters, with
+    ``plain``: the one form of each.  ``key`` identifies a row.
+
+    Code points are exploded with their position and joined with the
+    decomposition table; then words of two scripts are brought to one, and
+    clusters of a letter and its marks, ordered by class, are recomposed.  Only
+    texts that need a step go through it.  A very long text is one of many
+    groups and is exploded whole.
     """
-    spark = texts.sparkSession
-    forms, composed = _tables(spark)
+    forms, composed = _tables(texts.sparkSession)
     held = texts.where(is_suspect(F.col(text)))
-    w = W.partitionBy(*key)
-    pos = held.select(
-        *key,
-        F.col(text).rlike(_EASTERN).alias("eastern"),
-        F.posexplode(_code_points(F.col(text))).alias("pos", "ch"),
-    )
     # East Asian punctuation stays in East Asian text, and alone; elsewhere it is a wide form
+    wide_stays = F.col(text).rlike(_EASTERN) | ~F.col(text).rlike(r"[A-Za-zÀ-ɏͰ-ԯ0-9Ａ-Ｚａ-ｚ０-９]")
+    pos = held.select(*key, wide_stays.alias("stays"), F.posexplode(_code_points(F.col(text))).alias("pos", "ch"))
     o = F.ascii("ch")
     wide = (o == 0x3000) | (o.between(0xFF01, 0xFF65) & ~o.between(0xFF10, 0xFF19) & ~o.between(0xFF21, 0xFF3A) & ~o.between(0xFF41, 0xFF5A))
-    latin = F.max(_latin(o) | _greek(o) | _cyrillic(o) | o.between(48, 57)).over(w)
-    plain = (
-        pos.join(forms, "ch", "left")
-        .withColumn("latin", latin)
-        .withColumn("ch", F.when(F.col("plain").isNull() | (wide & (F.col("eastern") | ~F.col("latin"))), F.col("ch")).otherwise(F.col("plain")))
-        .select(*key, "pos", F.posexplode(_code_points(F.col("ch"))).alias("sub", "c"))
+    mapped = pos.join(forms, "ch", "left").withColumn(
+        "out", F.when(F.col("plain").isNull() | (wide & F.col("stays")), F.col("ch")).otherwise(F.col("plain"))
     )
-    # words: runs of letters and marks; a word of two scripts is brought to one
-    order = w.orderBy("pos", "sub")
-    o = F.ascii("c")
-    is_l, is_g, is_c = _latin(o), _greek(o), _cyrillic(o)
-    in_word = is_l | is_g | is_c | o.between(0x300, 0x36F)
-    word = W.partitionBy(*key, "word")
-    marked = plain.withColumn("word", F.sum(F.when(in_word, 0).otherwise(1)).over(order))
-
-    def n(hit: Column, but: str = "") -> Column:
-        own = hit & ~o.isin([ord(x) for x in but]) if but else hit
-        return F.sum(own.cast("int")).over(word)
-
-    marked = marked.withColumns(
-        {
-            "n_latin": n(is_l),
-            "n_greek": n(is_g),
-            "n_cyr": n(is_c),
-            "own_latin": n(is_l, "".join(sorted(set(_CYRILLIC_AS + _GREEK_AS)))),
-            "own_greek": n(is_g, _GREEK),
-            "own_cyr": n(is_c, _CYRILLIC),
-        }
+    step1 = _rejoined(mapped, key, "out")
+    words = F.regexp_extract_all("plain", F.lit(f"[{_LETTERS}]+|[^{_LETTERS}]+"), 0)
+    step2 = step1.withColumn(
+        "plain", F.when(F.col("plain").rlike(_MIXED), F.array_join(F.transform(words, one_script), "")).otherwise(F.col("plain"))
     )
-    mixed = (F.col("n_latin") > 0).cast("int") + (F.col("n_greek") > 0).cast("int") + (F.col("n_cyr") > 0).cast("int") > 1
-    to_latin = (F.col("own_greek") == 0) & (F.col("own_cyr") == 0) & ((F.col("own_latin") > 0) | (F.col("n_latin") >= F.col("n_greek") + F.col("n_cyr")))
-    to_cyr = (F.col("own_latin") == 0) & (F.col("own_greek") == 0) & (F.col("n_cyr") > 0)
-    to_greek = (F.col("own_latin") == 0) & (F.col("own_cyr") == 0) & (F.col("n_greek") > 0)
-    twin = (
-        F.when(mixed & to_latin, F.translate("c", _CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS))
-        .when(mixed & to_cyr, F.translate("c", _CYRILLIC_AS, _CYRILLIC))
-        .when(mixed & to_greek, F.translate("c", _GREEK_AS, _GREEK))
-        .otherwise(F.col("c"))
+    has_marks = F.col("plain").rlike(r"\p{M}")
+    clusters = step2.where(has_marks).select(
+        *key, F.posexplode(F.regexp_extract_all("plain", F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), 0)).alias("pos", "raw")
     )
-    # clusters: a starter and its marks, the marks in the order of their class
-    mark_class = _mark_class(F.col("c"), o)
-    clusters = (
-        marked.withColumn("c", twin)
-        .withColumn("ccc", mark_class)
-        .withColumn("cl", F.sum((F.col("ccc") == 0).cast("int")).over(order))
-        .groupBy(*key, "cl")
-        .agg(F.sort_array(F.collect_list(F.struct("ccc", "pos", "sub", "c"))).alias("m"))
-        .select(*key, "cl", F.array_join(F.col("m.c"), "").alias("cluster"))
-        .withColumn("part", F.when(F.length("cluster") > 1, F.substring("cluster", 1, 2)))
+    clusters = clusters.withColumn("cluster", F.when(F.length("raw") > 2, _ordered(F.col("raw"))).otherwise(F.col("raw"))).withColumn(
+        "part", F.when(F.length("cluster") > 2, F.substring("cluster", 1, 2))
     )
-    short = composed.withColumnsRenamed({"cluster": "part", "composed": "composed_part"})
+    short = F.broadcast(composed.withColumnsRenamed({"cluster": "part", "composed": "composed_part"}))
     rebuilt = (
         clusters.join(composed, "cluster", "left")
         .join(short, "part", "left")
-        .withColumn(
-            "out",
-            F.coalesce("composed", F.concat("composed_part", F.expr("substring(cluster, 3)")), "cluster"),
-        )
-        .groupBy(*key)
-        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("cl", "out")))["out"], "").alias("plain"))
+        .withColumn("out", F.coalesce("composed", F.concat("composed_part", F.expr("substring(cluster, 3)")), "cluster"))
+        .transform(lambda c: _rejoined(c, key, "out"))
+        .withColumnRenamed("plain", "recomposed")
     )
-    return held.join(rebuilt, key, "left").select(
-        *held.columns, F.coalesce("plain", F.lit("")).alias("plain")
-    )
-
-
-def _latin(o: Column) -> Column:
-    return o.between(65, 90) | o.between(97, 122) | (o.between(0xC0, 0x24F) & ~o.isin(0xD7, 0xF7)) | o.between(0x1E00, 0x1EFF)
-
-
-def _greek(o: Column) -> Column:
-    return (o.between(0x370, 0x3FF) & ~o.isin(0x37E, 0x387)) | o.between(0x1F00, 0x1FFF)
-
-
-def _cyrillic(o: Column) -> Column:
-    return o.between(0x400, 0x481) | o.between(0x48A, 0x52F)
+    plain = step2.join(rebuilt, key, "left").select(*key, F.coalesce("recomposed", "plain").alias("plain"))
+    return held.join(plain, key)
 
 
-def _mark_class(c: Column, o: Column) -> Column:
-    """Canonical combining class; only marks have one above zero."""
-    classes = mark_classes()
-    known = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
-    return F.when(o >= 0x300, F.coalesce(F.try_element_at(known, c), F.lit(0))).otherwise(F.lit(0))
+def _ordered(cluster: Column) -> Column:
+    """The marks of a cluster in the order of their combining class; equal
+    classes keep their order."""
+    known = F.create_map(*[F.lit(x) for kv in mark_classes().items() for x in kv])
+    chars = F.regexp_extract_all(cluster, F.lit("(?s)."), 0)
+    keyed = F.transform(chars, lambda c, i: F.struct(F.coalesce(F.try_element_at(known, c), F.lit(0)).alias("ccc"), i.alias("i"), c.alias("c")))
+    return F.array_join(F.array_sort(keyed)["c"], "")
 
 
 @functools.lru_cache(maxsize=1)
@@ -237,13 +225,13 @@ def consistent_texts(spans: DataFrame, elements: DataFrame) -> DataFrame:
     Garbled spans (problem 2) are left out.  Null texts and runs, empty texts
     and empty tables give nothing; repeated rows count once.
     """
-    texts = placed_texts(spans, elements).where(is_suspect(F.col("text"))).distinct()
+    texts = cut(placed_texts(spans, elements).where(is_suspect(F.col("text"))).distinct())
     named = texts.withColumnsRenamed(dict(zip(["k1", "k2", "k3", "k4"], SPAN_KEY[1:], strict=True)))
     garbled = garbled_spans(named.where("place = 'span'"))
     garbled = garbled.withColumnsRenamed(dict(zip(SPAN_KEY[1:], ["k1", "k2", "k3", "k4"], strict=True)))
     clean = texts.drop("font").join(garbled.withColumn("place", F.lit("span")), PLACE_KEY, "left_anti")
     clean = clean.groupBy(*PLACE_KEY).agg(F.max("text").alias("text"))
-    return consistent(clean, PLACE_KEY).where("plain != text")
+    return consistent(cut(clean), PLACE_KEY).where("plain != text")
 
 
 def lookalike_places(spans: DataFrame, elements: DataFrame) -> DataFrame:
