@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import lookalike, mojibake, notices, quality, residue, tokens
+from leafmill.llm import leakage, lookalike, mojibake, notices, quality, residue, tokens
 from leafmill.session import table
 
 
@@ -45,6 +45,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaking_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_lengths(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -53,7 +61,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "text")
 
 
-_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p4_found, p4_statistics, p7_ids, p9_found, p9_kept]
+_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p4_found, p4_statistics, p7_ids, p8_found, p8_lengths, p9_found, p9_kept]
 
 
 def queries() -> dict:
