@@ -42,7 +42,8 @@ PAGE_OF = rf"(?i)^(p[áa]g(ina)?\.?)?[{WS}]*#?[{WS}]*[0-9]+[{WS}]*(de|/)[{WS}]*[
 
 
 def has(c: Column, pattern: str) -> Column:
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    """Whether a pattern is found; ``(?i)`` means Unicode case as well."""
+    return F.coalesce(c.rlike(pattern.replace("(?i)", "(?iu)")), F.lit(False))
 
 
 def utrim(c: Column) -> Column:
@@ -111,7 +112,7 @@ def running_key(c: Column) -> Column:
 
 def is_page_number(c: Column) -> Column:
     t = F.regexp_replace(c, r"^[ .\-–—\[\]()]+|[ .\-–—\[\]()]+$", "")
-    return F.coalesce((t == "") | t.rlike(r"^[0-9]{1,4}$") | t.rlike(ROMAN) | t.rlike(PAGE_OF), F.lit(False))
+    return F.coalesce((t == "") | t.rlike(r"^[0-9]{1,4}$") | has(t, ROMAN) | has(t, PAGE_OF), F.lit(False))
 
 
 def is_all_caps(c: Column) -> Column:
