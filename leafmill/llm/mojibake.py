@@ -37,7 +37,7 @@ _GREEK = "".join(c for c in map(chr, range(0x370, 0x400)) if c.isalpha() and c n
 _CYRIL = "".join(c for c in map(chr, range(0x400, 0x530)) if c.isalpha() and c not in _TWINS)
 _OTHER = r"一-鿿぀-ヿ가-힯֐-ۿ"
 _SIGN = (
-    r"¢£¤¥¦§¨©¬®¯±²³´µ¶·¸¹¼½¾×÷†‡•‰€™ˆ˜ˇ˘˙˚˛˝√∂∑∏∫≈≠≤≥∞∆◊⌐⌠⌡⁄"
+    r"¢£¤¥¦§¨©¬®¯±´µ¶·¸¼½¾×÷†‡•‰€™ˆ˜ˇ˘˙˚˛˝√∂∑∏∫≈≠≤≥∞∆◊⌐⌠⌡⁄"
     + r"⌀-⏿─-◿₠-₫"
 )
 _LETTER = rf"{_LATIN}Ͱ-ϿЀ-ԯ"

@@ -107,7 +107,8 @@ def _page_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out["line_seq"].append(r["line_seq"])
                     out["key"].append(k)
                     out["chunks"].append(np.unique(hashes[a:b]))
-        yield pd.DataFrame(out)
+        if out["key"]:
+            yield pd.DataFrame(out)
 
 
 def line_chunks(book_lines: DataFrame) -> DataFrame:
