@@ -141,47 +141,48 @@ def repeated_lines(
     shuffle is keyed by (book, chunk) or (book, key), and the readings that
     lead a group are bounded by the page's number of lines, not by the book.
     """
-    lines = line_chunks(book_lines).transform(_keep)
+    lines = line_chunks(book_lines).withColumn("kid", F.xxhash64("key")).transform(_keep)
     need = (
         book_lines.groupBy("book_id")
         .agg(F.count_distinct("page").alias("pages"))
         .select("book_id", F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * min_share - 1e-9)).alias("need"))
     )
-    pieces = lines.select("book_id", "page", "key", F.explode("chunks").alias("chunk"))
+    # from here to the comparison only hashes of lines travel
+    pieces = lines.select("book_id", "page", "kid", F.explode("chunks").alias("chunk"))
     chunks = (
         pieces.select("book_id", "chunk", "page").distinct().groupBy("book_id", "chunk").agg(F.count("*").alias("np"))
         .join(need, "book_id").where("np >= need").select("book_id", "chunk")
-    )
+    ).transform(_keep)
+    on_pages = lines.select("book_id", "kid", "page").distinct()
     readings = (
-        lines.select("book_id", "key", "page").distinct().groupBy("book_id", "key").agg(F.count("*").alias("np"))
+        on_pages.groupBy("book_id", "kid").agg(F.count("*").alias("np"))
         .join(need, "book_id")
         .where(F.col("np") >= F.greatest(F.lit(2), F.ceil(F.col("need") * CENTRE_SHARE)))
-        .select("book_id", F.col("key").alias("centre"))
-    )
-    held = pieces.select("book_id", "key", "chunk").distinct().join(chunks, ["book_id", "chunk"])
-    leading = held.join(readings, (held.book_id == readings.book_id) & (held.key == readings.centre)).select(
-        held.book_id, "chunk", "centre"
+        .select("book_id", "kid")
     )
+    held = pieces.join(chunks, ["book_id", "chunk"], "left_semi").select("book_id", "kid", "chunk").distinct()
+    leading = held.join(readings, ["book_id", "kid"], "left_semi").withColumnRenamed("kid", "centre_id")
+    pairs = held.join(leading, ["book_id", "chunk"]).select("book_id", "kid", "centre_id").distinct()
+    keys = lines.groupBy("book_id", "kid").agg(F.first("key").alias("key"))
+    centres = keys.withColumnsRenamed({"kid": "centre_id", "key": "centre"})
     near = (
-        held.join(leading, ["book_id", "chunk"])
+        pairs.join(keys, ["book_id", "kid"]).join(centres, ["book_id", "centre_id"])
         .where(F.abs(F.length("key") - F.length("centre")) <= 2 * misread)
-        .select("book_id", "key", "centre")
-        .distinct()
         .where(
-            (F.col("key") == F.col("centre"))
+            (F.col("kid") == F.col("centre_id"))
             | (F.levenshtein("key", "centre", misread) >= 0)
             | (F.levenshtein(glyphs(F.col("key")), glyphs(F.col("centre")), misread) >= 0)
         )
+        .select("book_id", "kid", "centre_id")
     ).transform(_keep)
-    on_pages = lines.select("book_id", "key", "page").distinct()
     groups = (
-        near.join(on_pages, ["book_id", "key"])
-        .select("book_id", "centre", "page").distinct()
-        .groupBy("book_id", "centre").agg(F.count("*").alias("np"))
-        .join(need, "book_id").where("np >= need").select("book_id", "centre")
+        near.join(on_pages, ["book_id", "kid"])
+        .select("book_id", "centre_id", "page").distinct()
+        .groupBy("book_id", "centre_id").agg(F.count("*").alias("np"))
+        .join(need, "book_id").where("np >= need").select("book_id", "centre_id")
     )
-    keys = near.join(groups, ["book_id", "centre"]).select("book_id", "key").distinct()
-    return lines.join(keys, ["book_id", "key"], "left_semi").select(*LINE_KEY)
+    found = near.join(groups, ["book_id", "centre_id"], "left_semi").select("book_id", "kid").distinct()
+    return lines.join(found, ["book_id", "kid"], "left_semi").select(*LINE_KEY)
 
 
 def _keep(df: DataFrame) -> DataFrame:
