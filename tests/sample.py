@@ -15,10 +15,11 @@ class Book:
     def add(self, page, lines, x0=40.0, top=100.0, size=10.0, flags=0, width=None, pitch=14.0, font="Serif", dir_x=1.0):
         """One block: lines are strings or lists of (text, flags) spans."""
         b = self.block[page] = self.block.get(page, -1) + 1
+        x0, top, size = float(x0), float(top), float(size)
         boxes = []
         for i, line in enumerate(lines):
             spans = line if isinstance(line, list) else [(line, flags)]
-            x1 = x0 + (width if width is not None else sum(len(t) for t, _ in spans) * size * 0.5)
+            x1 = x0 + (float(width) if width is not None else sum(len(t) for t, _ in spans) * size * 0.5)
             boxes.append((spans, x0, top + i * pitch, x1, top + i * pitch + size * 1.2))
         box = (min(x[1] for x in boxes), boxes[0][2], max(x[3] for x in boxes), boxes[-1][4])
         for i, (spans, a, y, c, z) in enumerate(boxes):
@@ -34,7 +35,7 @@ def sample() -> Book:
     k.add(0, ["Ada Ferryman"], x0=150, top=180, size=12, flags=2)
     for page in range(1, 6):
         k.add(page, ["An Example Press"], top=22, size=7)
-        k.add(page, [f"- {page + 1} -"], x0=200, top=565, size=8)
+        k.add(page, [f"- {page + 1} -"], x0=40, top=565, size=8)
     k.add(1, ["Contents"], top=80, size=16)
     for n in range(5):
         k.add(1, [f"Part number {n} . . . . . . . {n + 3}"], top=120 + 22 * n)

@@ -4,11 +4,10 @@ import zipfile
 import pytest
 
 from leafmill.operators import layout as L
-from leafmill.operators import structure as S
 from leafmill.options import Options
 from leafmill.plans.pipeline import Conversion
 from leafmill.sinks import docx
-from tests.sample import Book, frames, sample
+from tests.sample import SPAN_TYPES, Book, frames, sample
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"0" * 30
 
@@ -158,9 +157,8 @@ def test_vertical_blank_and_null_spans(spark):
     k.add(0, ["upright text"])
     k.add(0, ["sideways"], dir_x=0.0)
     k.add(0, ["   "])
-    k.add(0, [None], width=10.0) if False else None
     rows = [*k.rows, *k.rows]  # every row repeated
-    lines = L.lines_of(spark.createDataFrame(rows, "book_id string, page int, block_seq int, line_seq int, span_seq int, text string, size double, font string, flags int, x0 double, y0 double, x1 double, y1 double, dir_x double, dir_y double, l_x0 double, l_y0 double, l_x1 double, l_y1 double, b_x0 double, b_y0 double, b_x1 double, b_y1 double"))
+    lines = L.lines_of(spark.createDataFrame(rows, SPAN_TYPES))
     assert [(r["text"], len(r["spans"])) for r in lines.collect()] == [("upright text", 1)]
 
 
@@ -170,7 +168,3 @@ def test_empty_book(spark):
     c = Conversion(type(c.inputs)(empty, c.inputs.images, c.inputs.page_info, c.inputs.books))
     r = c.stats.first()
     assert (r["elements"], r["paragraphs"], r["pages"]) == (0, 0, 6)
-
-
-def test_level_never_skips_below_three():
-    assert S.heading_level is not None
