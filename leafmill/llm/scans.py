@@ -31,12 +31,13 @@ MIN_COUNT = 4
 #: 1 / share can be, so what travels to the tasks is bounded.
 WORD_SHARE = 1e-5
 PAIR_SHARE = 2e-6
+SURE_RATIO = 6  # the same where the edit is a usual confusion of glyphs
 RATIO = 20  # a word must be so many times as frequent as its misreading
 VECTOR = 24
 
 _BREAK = re.compile(r"([^\W\d_])[-‐¬­‑]$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_SYMBOL = re.compile(r"[@|^~\\/=+*#<>{}$%&§_¦!?\[\]()]")
+_SYMBOL = re.compile(r"[@|^~\\/=+*#<>{}$%&§_¦!?¢£€¥©®\[\]()]")
 _DIGIT = re.compile(r"\d")
 _LETTER = re.compile(r"[^\W\d_]")
 _ORDINAL = re.compile(r"^\d+(?:[.,:/\-–]\d+)*\.?(?:[aoªº]|st|nd|rd|th|er|ère|e|ème)?$", re.I)
@@ -253,6 +254,8 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
             together = lex.pairs.get((a, b), 0)
             if together >= max(3, 2 * count) and len(key) >= 5:
                 return f"{c[:k]} {c[k:]}", 1
+    if not name and count <= max(2, lex.least // 8) and (parts_ := _segments(key, lex)):
+        return " ".join(parts_), 1
     inner = re.search(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", c)
     if inner:
         return f"{c[: inner.start()]} {c[inner.start() :]}", 1
@@ -263,7 +266,7 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     near_words = lex.edits(key)
     if len(key) == 2:
         near_words = [x for x in near_words if x[1] and len(x[0]) >= 2]
-    ok = [(w, p) for w, p in near_words if lex.words[w] >= RATIO * max(1, count) and (p or not name)]
+    ok = [(w, p) for w, p in near_words if lex.words[w] >= (SURE_RATIO if p and not name else RATIO) * max(1, count) and (p or not name)]
     if len(key) <= 3:
         ok = [(w, p) for w, p in ok if lex.words[w] >= 10 * RATIO * max(1, count)]
     if name and ok and _name_like(key, lex):
@@ -293,6 +296,21 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     return None, 0
 
 
+def _segments(key: str, lex: Lexicon) -> list[str]:
+    """The frequent words of four letters or more, the middle ones of three, that
+    make up the whole of an unknown one; empty if there are none."""
+    n = len(key)
+    if n < 8:
+        return []
+    best: list[list[str] | None] = [[]] + [None] * n
+    for j in range(3, n + 1):
+        for i in range(j - 3, -1, -1):
+            if best[i] is not None and (j - i >= 4 or (i > 0 and j < n)) and lex.words.get(key[i:j], 0) >= lex.least:
+                if best[j] is None or len(best[i]) + 1 < len(best[j]):
+                    best[j] = [*best[i], key[i:j]]
+    return best[n] if best[n] and len(best[n]) > 1 else []
+
+
 def _two_edits(key: str, lex: Lexicon) -> Iterator[tuple[str, bool]]:
     for a, b in _GROUPS:
         i = key.find(a)
@@ -319,7 +337,7 @@ def _grown_apart(cores: list[str], i: int, key: str, lex: Lexicon) -> tuple[str
     if i + 1 >= len(cores):
         return None, 0
     nxt = fold(cores[i + 1])
-    if not nxt or not nxt.isalpha() or not key.isalpha() or cores[i + 1][:1].isupper() and not cores[i].isupper():
+    if not _PLAIN_INNER.sub("", nxt).isalpha() or not _PLAIN_INNER.sub("", key).isalpha() or cores[i + 1][:1].isupper() and not cores[i].isupper():
         return None, 0
     joined = lex.words.get(key + nxt, 0)
     if joined < lex.least:
