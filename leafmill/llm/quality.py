@@ -167,7 +167,7 @@ def _verdict(text, words, tokens, letters, digits, n_solid, common, top, eastern
         return "junk"
     if common >= 0.08 and n >= 6 and ends:
         return "prose"
-    if ends and n >= 2 * ends and items <= 1 and separators <= (0.4 if _SENTENCE_END.search(text[-4:]) else 0.25) * n:
+    if ends and n >= 2 * ends and items <= 1 and separators <= (0.55 if _SENTENCE_END.search(text[-4:]) else 0.25) * n:
         return "prose"
     if n < 8 and ends and separators <= 1 and items <= 1:
         return "prose"
