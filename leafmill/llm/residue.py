@@ -1,16 +1,19 @@
 """Problem 9: template residue, filler, error messages and script notices.
 
 Documents are cut into units (sentences and lines).  Units the patterns know
-for sure are trusted labels; partitioned SimHash tables find the near-duplicates
-of whole-unit residue, Hamming distance and shingle similarity verify them, and
+for sure are trusted labels; a prefix-filtered set-similarity join finds all
+near-duplicates of whole-unit residue, the shingle similarity verifies them, and
 labels spread along these links until no component gains a member.  Units that
 quote residue or speak about it are trusted the other way and stop the spread.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,14 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.simhash import simhash
 from leafmill.llm.textkeys import fold
 from leafmill.session import broadcast_if_small, cut
 
-BLOCKS = 4  # 16-bit blocks of a 64-bit fingerprint: all pairs within 3 bits share one
-RADIUS = 3
 SIMILARITY = 0.8  # Jaccard of character shingles; units are too short for word shingles
 SHINGLE = 4
+SAMPLE = 20_000  # units whose shingle counts give the order of rarity; any order finds all pairs
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _END = re.compile(r"[.!?…:;।؟。！？]['\"”’»)\]]*$")
@@ -44,8 +45,9 @@ _OPENING = re.compile(r"[{\[<@_%#]")
 
 # Patterns on folded text (lower case, no accents).  Fixed phrases of software
 # and templates in the languages of the corpus, each with its usual variants.
+REPEATED = r"\b(?:x{4,}\s+){2,}x{4,}|\b(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)(?:\s+(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)){3,}\b"
 FILLER = re.compile(
-    r"\blorem ipsum\b|\b(?:x{4,}\s+){2,}x{4,}|\b(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)(?:\s+(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)){3,}\b"
+    rf"\blorem ipsum\b|{REPEATED}"
     r"|\b(?:todo|tbd|pendiente|a completar|fixme)\s*[:\-–—]\s*\w+"
     r"|\b(?:texto|parrafo|paragrafo) (?:provisori[oa]|de relleno|de preenchimento|de exemplo|de ejemplo)\b.*\b(?:substituir|sustituir|trocar|antes de)"
     r"|\bplaceholder (?:paragraph|text|copy)\b|\b(?:your|sample|dummy) text (?:goes|here|only)\b|\btext goes here\b"
@@ -134,7 +136,9 @@ def judge_unit(unit: str) -> tuple[int, bool]:
     if hit:
         if len(words) > 8 and (REPORTED.search(low) or _quoted(low, hit.start(), hit.end())):
             return -1, False
-        return 1, True
+        # words beside repeated filler are no residue: they must not spread it
+        beside = re.sub(REPEATED, " ", low)
+        return 1, beside == low or not _WORD.search(beside)
     if len(words) >= 5:
         latin = sum(bool(_LATIN_FILLER.match(w)) for w in words)
         if latin >= 0.7 * len(words) and len(set(words)) < len(words):
@@ -148,7 +152,6 @@ def unit_key(unit: str) -> str:
 
 
 def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    prints: dict[str, int] = {}
     for docs in batches:
         rows: dict[tuple, None] = {}
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
@@ -157,29 +160,58 @@ def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key = unit_key(u)
                 if not key and label <= 0:
                     continue
-                fp = prints.get(key)
-                if fp is None:
-                    if len(prints) > 50_000:
-                        prints.clear()
-                    fp = prints[key] = simhash(key, SHINGLE)
-                rows[(int(doc), key, fp, label, whole)] = None
-        yield pd.DataFrame(list(rows), columns=["doc_id", "key", "fp", "label", "whole"])
-
-
-def _blocks(df: DataFrame, prefix: str) -> DataFrame:
-    """One row a block of the fingerprint; the block number is part of the key."""
-    parts = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF).alias("v")) for i in range(BLOCKS)]
-    return df.withColumn("block", F.explode(F.array(*parts))).select(
-        F.col("block.b").alias("b"), F.col("block.v").alias("v"), F.col("key").alias(f"{prefix}key"), F.col("fp").alias(f"{prefix}fp")
-    )
+                rows[(int(doc), key, label, whole)] = None
+        yield pd.DataFrame(list(rows), columns=["doc_id", "key", "label", "whole"])
+
+
+def shingles(key: str) -> set[str]:
+    return {key[i : i + SHINGLE] for i in range(max(1, len(key) - SHINGLE + 1))}
+
+
+def prefix(grams: set[str], counts: dict[str, int]) -> list[int]:
+    """Hashes of the rarest shingles, so many that any two sets of similarity
+    ``SIMILARITY`` share one: all orders do that, an order by rarity with few others."""
+    n = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
+    rarest = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:n]
+    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) - 2**31 for g in rarest]
+
+
+def _prefixed(keys: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``key`` with the size of its shingle set and the hashes of its prefix."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(k) for k in pdf["key"]]
+            yield pd.DataFrame({"key": pdf["key"], "size": [len(g) for g in sets], "grams": [prefix(g, counts) for g in sets]})
+
+    return keys.select("key").mapInPandas(add, "key string, size int, grams array<int>")
 
 
 @F.pandas_udf(T.DoubleType())
 def _shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    def grams(t: str) -> set[str]:
-        return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
-
-    return pd.Series([len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    known: dict[str, set[str]] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        own = shingles(x)
+        other = known.get(y)
+        if other is None:
+            other = known[y] = shingles(y)
+        both = len(own & other)
+        out.append(both / (len(own) + len(other) - both))
+    return pd.Series(out, dtype="float64")
+
+
+def near_duplicates(open_units: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``key, of_key``: every open unit and frontier unit of at least ``SIMILARITY``."""
+    of = frontier.select(F.col("key").alias("of_key"), F.col("size").alias("of_size"), F.explode("grams").alias("gram"))
+    smaller, larger = F.least("size", "of_size"), F.greatest("size", "of_size")
+    return (
+        open_units.select("key", "size", F.explode("grams").alias("gram"))
+        .join(broadcast_if_small(of), "gram")
+        .where(smaller >= F.lit(SIMILARITY) * larger - F.lit(1e-9))
+        .select("key", "of_key").distinct()
+        .where(_shingle_similarity("key", "of_key") >= SIMILARITY)
+    )
 
 
 def labelled_units(documents: DataFrame) -> DataFrame:
@@ -187,25 +219,18 @@ def labelled_units(documents: DataFrame) -> DataFrame:
     found = cut(
         documents.where("doc_id is not null and trim(text) <> ''")
         .select("doc_id", "text")
-        .mapInPandas(_units_of, "doc_id bigint, key string, fp bigint, label int, whole boolean")
+        .mapInPandas(_units_of, "doc_id bigint, key string, label int, whole boolean")
     )
     direct = found.where("label = 1").select("doc_id", "key")
-    readings = found.groupBy("key").agg(
-        F.first("fp").alias("fp"), F.min("label").alias("least"), F.max(F.when(F.col("whole"), F.col("label")).otherwise(0)).alias("seed")
-    )
-    open_units = cut(readings.where("seed = 0 and least = 0 and length(key) >= 8").select("key", "fp"))
-    frontier = cut(readings.where("seed = 1 and length(key) >= 8").select("key", "fp"))
-    tables = _blocks(open_units, "")
+    readings = found.groupBy("key").agg(F.min("label").alias("least"), F.max(F.when(F.col("whole"), F.col("label")).otherwise(0)).alias("seed"))
+    counts = Counter(g for r in found.select("key").limit(SAMPLE).toLocalIterator() for g in shingles(r["key"]))
+    # digits are all alike in a key: one of digits alone has no wording to be near to
+    open_units = cut(_prefixed(readings.where("seed = 0 and least = 0 and key rlike '[^0]'"), counts))
+    frontier = cut(_prefixed(readings.where("seed = 1 and key <> ''"), counts))
     spread = frontier.select("key").limit(0)
     while not frontier.isEmpty():
-        near = (
-            tables.join(broadcast_if_small(_blocks(frontier, "of_")), ["b", "v"])
-            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= RADIUS)
-            .select("key", "fp", "of_key").distinct()
-            .where(_shingle_similarity("key", "of_key") >= SIMILARITY)
-            .select("key", "fp").distinct()
-        )
-        fresh = cut(near.join(spread, "key", "left_anti"))
+        near = near_duplicates(open_units, frontier).select("key").distinct()
+        fresh = cut(open_units.join(near.join(spread, "key", "left_anti"), "key", "left_semi"))
         spread = cut(spread.unionByName(fresh.select("key")))
         frontier = fresh
     gained = found.where("label = 0").join(spread, "key", "left_semi").select("doc_id", "key")

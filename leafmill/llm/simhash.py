@@ -1,4 +1,4 @@
-"""SimHash of many short texts at once, and its Hamming block keys."""
+"""SimHash fingerprints of many windows of a text at once."""
 
 from __future__ import annotations
 
@@ -41,14 +41,6 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def simhash(text: str, n: int = 4) -> int:
-    """Fingerprint of one text by its character n-grams, as a signed long."""
-    h = gram_hashes(codes_of(text), n)
-    if len(h) == 0:
-        return 0
-    return int(pack(signs(h).sum(axis=0, dtype=np.int32)[None, :]).view(np.int64)[0])
-
-
 def window_fingerprints(codes: np.ndarray, starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Fingerprints of the windows ``codes[s : s + size]`` for all ``starts``;
     windows that would run over the end must not be asked for."""

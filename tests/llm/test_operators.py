@@ -349,3 +349,28 @@ def test_residue_documents(spark):
     assert keys(residue.residue_documents(d), "doc_id") == [(1,), (5,), (6,), (8,)]
     assert residue.without_residue(d).count() == 5
     assert residue.residue_documents(d.limit(0)).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(11)
+    seeds = [words(rng, rng.randint(1, 12)).replace(" ", "") for _ in range(60)] + ["abcd", "abcdabcd"]
+    others = []
+    for k in seeds:
+        for _ in range(6):
+            i = rng.randrange(len(k))
+            others.append(k[:i] + words(rng, 1) + k[i + rng.randint(0, 6) :])
+    others = sorted(set(others + ["abcdab", "abc", "x"]) - set(seeds))
+    counts = {g: rng.randint(0, 9) for k in others[::3] for g in residue.shingles(k)}
+    frame = lambda keys_: residue._prefixed(spark.createDataFrame([(k,) for k in keys_], "key string"), counts)
+    similar = lambda a, b: len(a & b) / len(a | b) >= residue.SIMILARITY
+    want = sorted((a, b) for a in others for b in seeds if similar(residue.shingles(a), residue.shingles(b)))
+    assert len(want) > 60
+    assert keys(residue.near_duplicates(frame(others), frame(seeds)), "key", "of_key") == want
+
+
+def test_residue_with_one_word_changed(spark):
+    whole = "Your browser does not allow this page to run, so please enable JavaScript and then reload the whole of the page to go on reading this book."
+    near = whole.replace("enable JavaScript", "enable JavaScrapt")
+    d = spark.createDataFrame([(1, whole), (2, near), (3, "The year was\n1984"), (5, "The lost ledger of the harbour at night xxxxx xxxxx xxxxx"), (6, "The lost ledger of the harbour at night")], "doc_id long, text string")
+    assert residue.judge_unit(near)[0] == 0
+    assert keys(residue.residue_documents(d), "doc_id") == [(1,), (2,), (5,)]
