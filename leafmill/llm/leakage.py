@@ -3,8 +3,10 @@
 Both sides become streams of folded letters and digits.  Windows of the size
 of a passage's unchanged part are fingerprinted with SimHash at every word
 start; four 16-bit blocks find every item window within 3 bits of a document
-window.  The pairs found are aligned word by word and checked by the weighted
-shingle similarity of the aligned stretch.
+window, and shorter seeds are found exactly.  The pairs found are aligned word by word; a run of the aligned words
+with at most one of any ten changed is a passage, whichever words are changed.
+No similarity of shingles is asked of it besides: unchanged words are equal
+letter by letter, and two changed words ten apart may halve that similarity.
 
 Twelve running words with at most one of any ten changed always keep five
 running words unchanged, so the window (24 letters) is chosen to fit into
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.lookalike import _CYRILLIC, _CYRILLIC_AS, _GREEK, _GREEK_AS
-from leafmill.llm.simhash import codes_of, window_fingerprints
+from leafmill.llm.simhash import codes_of, gram_hashes, window_fingerprints
 
 WINDOW = 24  # letters of a fingerprint window
+SEED = 14  # letters that are found exactly: five unchanged words may be shorter than a window
 GRAM = 5
 RADIUS = 3
 MIN_WORDS = 12
 SPAN = 10  # of so many running words one may differ
 SLACK = 30  # letters a changed word may have
-SIMILARITY = 0.5  # weighted shingle similarity of an aligned stretch
 BLOCK_ITEMS = 5_000  # items searched for in one pass over the corpus
 
 _TWINS = str.maketrans(_CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS)
@@ -57,17 +59,24 @@ def stream(text: str) -> tuple[str, np.ndarray]:
     return "".join(words), starts
 
 
+def seeds(s: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``SEED`` letters at the word starts, and these starts."""
+    at = starts[starts <= len(s) - SEED]
+    return (gram_hashes(codes_of(s), SEED)[at] if len(at) else np.zeros(0, dtype=np.uint64)), at
+
+
 class ItemIndex:
     """Fingerprints of all item windows in four block tables, built where used."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.streams, self.starts = [], []
-        fps, owner, place = [], [], []
+        fps, owner, place, short = [], [], [], []
         for k, (_, text) in enumerate(items):
             s, w = stream(text)
             self.streams.append(s)
             self.starts.append(w)
+            short.append((*seeds(s, w), k))
             if len(s) < WINDOW:
                 continue
             at = w[w <= len(s) - WINDOW]
@@ -82,10 +91,19 @@ class ItemIndex:
             v = ((self.fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
             order = np.argsort(v, kind="stable")
             self.tables.append((order, np.searchsorted(v[order], np.arange(65537))))
-        df: Counter[str] = Counter()
-        for s in self.streams:
-            df.update({s[i : i + GRAM] for i in range(len(s) - GRAM + 1)})
-        self.df = df
+
+        h = np.concatenate([x[0] for x in short]) if short else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.seed = h[order]
+        self.seed_owner = np.concatenate([np.full(len(x[1]), x[2]) for x in short])[order] if short else np.zeros(0, dtype=np.int64)
+        self.seed_place = np.concatenate([x[1] for x in short])[order] if short else np.zeros(0, dtype=np.int64)
+
+    def seed_hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (document seed, item seed) pairs of equal letters."""
+        first = np.searchsorted(self.seed, hashes, "left")
+        n = np.searchsorted(self.seed, hashes, "right") - first
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(hashes)), n), np.repeat(first, n) + within
 
     def hits(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (document window, item window) pairs within the radius."""
@@ -113,9 +131,17 @@ class ItemIndex:
         s, w = self.streams[k], self.starts[k]
         return s[w[j] : w[j + 1] if j + 1 < len(w) else len(s)]
 
-    def align(self, k: int, j: int, doc: str, at: int) -> tuple[list[tuple[int, bool]], int, int]:
+    def align(self, k: int, j: int, doc: str, starts: np.ndarray, at: int) -> tuple[list[tuple[int, bool]], int, int]:
         """Words of item ``k`` around word ``j`` matched to ``doc`` around
-        ``at``: (word, unchanged) in order, and the stretch of ``doc``."""
+        ``at``: (word, unchanged) in order, and the stretch of ``doc``.  A change
+        is bridged to the two words beyond it, or over exactly one word of
+        ``doc`` to a single one, as the passage may end there."""
+        bounds = np.append(starts, len(doc))
+
+        def bound(at: int) -> int:
+            n = int(np.searchsorted(bounds, at))
+            return n if n < len(bounds) and bounds[n] == at else -1
+
         total = len(self.starts[k])
         here = self.word(k, j) + (self.word(k, j + 1) if j + 1 < total else "")
         if not doc.startswith(here, at):  # windows within the radius may be a few letters apart
@@ -135,7 +161,10 @@ class ItemIndex:
             ahead = self.word(k, i + 1) + (self.word(k, i + 2) if i + 2 < total else "")
             nxt = doc.find(ahead, pos, pos + SLACK + len(ahead))
             if nxt < 0:
-                break
+                n, w = bound(pos), self.word(k, i + 1)
+                if not 0 <= n < len(starts) - 1 or not doc.startswith(w, bounds[n + 1]) or bound(bounds[n + 1] + len(w)) < 0:
+                    break
+                nxt = int(bounds[n + 1])
             right.append((i, False))
             pos = nxt
             i += 1
@@ -154,23 +183,15 @@ class ItemIndex:
             behind = (self.word(k, i - 2) if i > 1 else "") + self.word(k, i - 1)
             prv = doc.rfind(behind, max(0, pos - SLACK - len(behind)), pos)
             if prv < 0:
-                break
+                n, w = bound(pos), self.word(k, i - 1)
+                if n < 2 or (first := int(bounds[n - 1]) - len(w)) < 0 or not doc.startswith(w, first) or bound(first) < 0:
+                    break
+                prv, behind = first, w
             left.append((i, False))
             pos = prv + len(behind)
             i -= 1
         return left[::-1] + right, pos, end
 
-    def similarity(self, k: int, first: int, last: int, piece: str) -> float:
-        """Weighted Jaccard of the shingles of item words first..last and of a
-        document stretch; a shingle weighs less the more items hold it."""
-        s, w = self.streams[k], self.starts[k]
-        own = s[w[first] : w[last + 1] if last + 1 < len(w) else len(s)]
-        a = Counter(own[i : i + GRAM] for i in range(len(own) - GRAM + 1))
-        b = Counter(piece[i : i + GRAM] for i in range(len(piece) - GRAM + 1))
-        weigh = lambda c: sum(n / self.df.get(g, 1) ** 0.5 for g, n in c.items())
-        union = weigh(a | b)
-        return weigh(a & b) / union if union else 0.0
-
 
 def longest_run(flags: list[tuple[int, bool]]) -> tuple[int, int, int]:
     """Longest stretch of running words of which no ten hold two changed ones:
@@ -194,36 +215,40 @@ def longest_run(flags: list[tuple[int, bool]]) -> tuple[int, int, int]:
 
 def leaked_items(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int]]:
     """(text number, item number, running words) of every leak."""
-    streams, fps, owner, place = [], [], [], []
+    streams, starts, fps, owner, place, short = [], [], [], [], [], []
     for t, text in enumerate(texts):
         s, w = stream(text)
         streams.append(s)
+        starts.append(w)
         at = w[w <= len(s) - WINDOW]
         if len(at):
             fps.append(window_fingerprints(codes_of(s), at, WINDOW, GRAM))
             owner.append(np.full(len(at), t))
             place.append(at)
-    if not fps or not len(index.fp):
-        return
-    fp, own, at = np.concatenate(fps), np.concatenate(owner), np.concatenate(place)
-    left, right = index.hits(fp)
-    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        pairs[int(own[i]), int(index.owner[j])].append((int(at[i]), int(index.place[j])))
+        short.append((*seeds(s, w), t))
+    pairs: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+    if fps and len(index.fp):
+        own, at = np.concatenate(owner), np.concatenate(place)
+        left, right = index.hits(np.concatenate(fps))
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            pairs[int(own[i]), int(index.owner[j])].add((int(at[i]), int(index.place[j])))
+    for h, at, t in short:
+        left, right = index.seed_hits(h)
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            pairs[t, int(index.seed_owner[j])].add((int(at[i]), int(index.seed_place[j])))
     for (t, k), found in pairs.items():
         doc, best = streams[t], 0
-        covered: list[tuple[int, int]] = []
+        covered: list[tuple[int, int, int, int]] = []
         for dp, ip in sorted(found):
-            if any(a <= dp < b for a, b in covered):
-                continue
             j = int(np.searchsorted(index.starts[k], ip))
-            flags, a, b = index.align(k, j, doc, dp)
-            run, first, last = longest_run(flags)
-            if run >= MIN_WORDS - 4 and run > best:
-                if index.similarity(k, first, last, doc[a:b]) >= SIMILARITY or run >= 2 * MIN_WORDS:
-                    best = run
+            if any(a <= dp < b and first <= j <= last for a, b, first, last in covered):
+                continue
+            flags, _, b = index.align(k, j, doc, starts[t], dp)
+            run = longest_run(flags)[0]
+            if run >= MIN_WORDS - 4:
+                best = max(best, run)
             if flags and flags[0][0] <= j:
-                covered.append((dp, b) if b > dp else (dp, dp + 1))
+                covered.append((dp, max(b, dp + 1), flags[0][0], flags[-1][0]))
         if best:
             yield t, k, best
 

@@ -300,6 +300,17 @@ def test_passages_are_found():
     assert leaks("", "nothing of it here at all") == {}
 
 
+def test_every_allowed_pattern_of_changes_is_found():
+    w, rng = ITEM.split(), random.Random(8)
+    for start in range(len(w) - 13):
+        for size, at in [(12, [c]) for c in range(1, 11)] + [(14, [c, c + 10]) for c in (1, 2)]:
+            piece = w[start : start + size]
+            for c in at:
+                piece[c] = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(8, 12)))
+            assert leaks(f"some other words {' '.join(piece)} and more of them").get(0, 0) >= 12, (start, at)
+    assert leaks(" ".join(w[2:8] + ["other", "words"] + w[10:16])).get(0, 0) < 12
+
+
 def test_leaking_documents(spark):
     d = spark.createDataFrame([(1, f"a {ITEM} b"), (1, f"a {ITEM} b"), (2, None), (3, "  "), (4, "free of it"), (5, "pad " * 20000 + ITEM)], "doc_id long, text string").withColumn("item_id", F.lit(7))
     e = spark.createDataFrame([(9, ITEM), (8, None), (9, ITEM)], "item_id long, text string")
