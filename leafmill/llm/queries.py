@@ -42,7 +42,11 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.element_sentences(table(spark, d, "elements"), table(spark, d, "span_facts"), table(spark, d, "common_words"))
+    return sentences.element_sentences(table(spark, d, "elements"), table(spark, d, "span_facts"), table(spark, d, "common_words"), table(spark, d, "book_lines"))
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.all_sentences(table(spark, d, "elements"), table(spark, d, "book_lines"), table(spark, d, "common_words"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +57,10 @@ def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.reflowed_paragraphs(table(spark, d, "book_lines"))
 
 
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_runs(table(spark, d, "elements"), table(spark, d, "book_lines"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
@@ -73,7 +81,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "text")
 
 
-_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p4_found, p4_statistics, p5_found, p6_found, p6_paragraphs, p7_ids, p8_found, p8_lengths, p9_found, p9_kept]
+_QUERIES = [p1_found, p1_kept_lines, p2_found, p2_restored, p3_found, p3_consistent, p4_found, p4_statistics, p5_found, p5_sentences, p6_found, p6_paragraphs, p6_runs, p7_ids, p8_found, p8_lengths, p9_found, p9_kept]
 
 
 def queries() -> dict:

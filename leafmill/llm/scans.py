@@ -36,6 +36,7 @@ RATIO = 20  # a word must be so many times as frequent as its misreading
 VECTOR = 24
 
 _BREAK = re.compile(r"([^\W\d_])[-‐¬­‑]$")
+_RUN_BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad‑][ \n]+(?=[^\W\d_])(?=[^A-ZÀ-Þ])")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SYMBOL = re.compile(r"[@|^~\\/=+*#<>{}$%&§_¦!?¢£€¥©®\[\]()]")
 _DIGIT = re.compile(r"\d")
@@ -428,6 +429,17 @@ def _noise(batches: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFra
         yield pd.DataFrame(out, columns=[*LINE_KEY, "noise"])
 
 
+def _mended(first: str, last: str, c: str, better: str, lex: Lexicon) -> str:
+    """A correction with the marks around the tokens it replaces, and their case."""
+    lead = first[: len(first) - len(first.lstrip("“«(¿¡„—–-'\""))]
+    trail = re.search(r"[\W_]*$", last)[0]
+    better = " ".join(lex.forms.get(x, x) for x in better.split(" ")) if better.islower() else better
+    word = better if not c.isupper() else better.upper()
+    if c[:1].isupper() and word[:1].islower():
+        word = word[:1].upper() + word[1:]
+    return f"{lead}{word}{trail}"
+
+
 def page_misread(rows, edge, lex: Lexicon) -> tuple[set[int], list[list[str]], list[tuple[int, int]]]:
     """Lines of a page with misread words, the corrected tokens of each line,
     and its broken words as (line, next line)."""
@@ -450,14 +462,7 @@ def page_misread(rows, edge, lex: Lexicon) -> tuple[set[int], list[list[str]], l
             if n:
                 bad.add(i)
                 if better:
-                    a, b = line[j], line[min(j + n - 1, len(line) - 1)]
-                    lead = a[: len(a) - len(a.lstrip("“«(¿¡„—–-'\""))]
-                    trail = re.search(r"[\W_]*$", b)[0]
-                    better = " ".join(lex.forms.get(x, x) for x in better.split(" ")) if better.islower() else better
-                    word = better if not cores[j].isupper() else better.upper()
-                    if cores[j][:1].isupper() and word[:1].islower():
-                        word = word[:1].upper() + word[1:]
-                    fixed[i][j] = f"{lead}{word}{trail}"
+                    fixed[i][j] = _mended(line[j], line[min(j + n - 1, len(line) - 1)], cores[j], better, lex)
                     for k in range(j + 1, min(j + n, len(line))):
                         fixed[i][k] = ""
                 skip = j + n - 1
@@ -496,12 +501,12 @@ def scan_noise(book_lines: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _page_paragraphs(batches: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFrame]:
+def _page_paragraphs(batches: Iterator[pd.DataFrame], lex: Lexicon | None) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out: list[tuple] = []
         for book, page, rows, body in zip(pages["book_id"], pages["page"], pages["lines"], pages["body"], strict=True):
             edge = margin_flags(rows, body)
-            _, fixed, breaks = page_misread(rows, edge, lex)
+            fixed, breaks = page_misread(rows, edge, lex)[1:] if lex else _page_tokens(rows, edge)
             joins = {a: b for a, b in breaks}
             right = np.median([r["x1"] for k, r in enumerate(rows) if not edge[k] and r["x1"] is not None] or [0])
             seq, text, prev = 0, "", None
@@ -516,7 +521,7 @@ def _page_paragraphs(batches: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[
                         seq, text = seq + 1, ""
                 if text and prev in joins and joins[prev] == i:
                     left, first = text.rsplit(" ", 1)[-1].rstrip("-‐¬­‑"), line.split(" ", 1)[0]
-                    whole = lex.frequent(fold(core(left) + "-" + core(first))) and not lex.frequent(fold(core(left) + core(first)))
+                    whole = lex and _compound(left, first, lex)
                     text = text.rstrip("-‐¬­‑") + ("-" if whole else "") + line
                 else:
                     text = f"{text} {line}" if text else line
@@ -526,6 +531,82 @@ def _page_paragraphs(batches: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[
         yield pd.DataFrame(out, columns=["book_id", "page", "seq", "text"])
 
 
+def _compound(left: str, right: str, lex: Lexicon) -> bool:
+    """Whether the hyphen between two halves is the word's own."""
+    apart, joined = fold(core(left) + "-" + core(right)), fold(core(left) + core(right))
+    # broken words are counted as joined, compounds broken at their hyphen among them
+    return lex.frequent(apart) and lex.words[apart] > lex.words.get(joined, 0)
+
+
+def mended_runs(texts: list[str], lex: Lexicon) -> list[str]:
+    """The run texts of an element with broken words joined and misread words
+    corrected.  A word that crosses runs stays in the run it begins in."""
+    chars = "".join(texts)
+    owner = [k for k, t in enumerate(texts) for _ in t]
+
+    def put(spans: list[tuple[int, int, str]]) -> None:
+        nonlocal chars
+        for a, b, new in reversed(spans):
+            chars = chars[:a] + new + chars[b:]
+            owner[a:b] = [owner[a]] * len(new)
+
+    breaks = []
+    for m in _RUN_BREAK.finditer(chars):
+        right = chars[m.end() :].split(None, 1)[0]
+        left = chars[: m.start()].rsplit(None, 1)[-1]
+        breaks.append((m.start(), m.end(), "-" if _compound(left, right, lex) else ""))
+    put(breaks)
+    at = [m.span() for m in re.finditer(r"\S+", chars)]
+    tokens = [chars[a:b] for a, b in at]
+    cores = [core(t) for t in tokens]
+    spans, skip = [], -1
+    for j in range(len(tokens)):
+        if j <= skip:
+            continue
+        better, n = misread(cores, j, lex)
+        skip = j + n - 1
+        if n and better:
+            last = min(j + n - 1, len(tokens) - 1)
+            spans.append((at[j][0], at[last][1], _mended(tokens[j], tokens[last], cores[j], better, lex)))
+    put(spans)
+    out = [[] for _ in texts]
+    for c, k in zip(chars, owner, strict=True):
+        out[k].append(c)
+    return ["".join(x) for x in out]
+
+
+def repaired_runs(elements: DataFrame, book_lines: DataFrame) -> DataFrame:
+    """``book_id, el_seq, run, text``: the runs of the elements of scanned books,
+    words mended by the lexicon of ``book_lines``.
+
+    Null run texts read as empty, null or empty runs give no row; repeated rows
+    count once.  A run may be left empty where its words began in the run before.
+    """
+    books = book_lines.select("book_id").where("book_id is not null").distinct()
+    runs = (
+        elements.where("runs is not null and size(runs) > 0")
+        .join(books, "book_id", "left_semi")
+        .groupBy("book_id", "el_seq")
+        .agg(F.max(F.transform("runs", lambda r: F.coalesce(r["text"], F.lit("")))).alias("texts"))
+    )
+    lex = learn(cut(pages_of(book_lines)))
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (b, s, k, t) for b, s, texts in zip(pdf["book_id"], pdf["el_seq"], pdf["texts"], strict=True) for k, t in enumerate(mended_runs(list(texts), lex))
+            ]
+            yield pd.DataFrame(rows, columns=["book_id", "el_seq", "run", "text"])
+
+    return runs.mapInPandas(mend, "book_id string, el_seq int, run int, text string")
+
+
+def joined_texts(book_lines: DataFrame) -> DataFrame:
+    """``text``: the lines of each page joined to paragraphs, words as read."""
+    parts = pages_of(book_lines).mapInPandas(lambda it: _page_paragraphs(it, None), "book_id string, page int, seq int, text string")
+    return parts.select("text")
+
+
 def reflowed_paragraphs(book_lines: DataFrame) -> DataFrame:
     """``book_id, para_seq, first_page, text``: continuous paragraphs without
     furniture, words mended, pages joined where a paragraph runs on.

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.quality import common_by_language, element_text
+from leafmill.llm.scans import joined_texts, reflowed_paragraphs
 from leafmill.session import cut
 
 MIN_COUNT = 3
@@ -390,33 +391,54 @@ def _is_end(text: str, stop: int, end: int, model: Model, lang: str) -> bool:
     return share > 0.3 or len(t) > 3
 
 
-def element_sentences(elements: DataFrame, spans: DataFrame, common_words: DataFrame) -> DataFrame:
+def element_texts(elements: DataFrame) -> DataFrame:
+    """``book_id, el_seq, kind, text`` of the elements, each record once."""
+    return elements.groupBy("book_id", "el_seq", "kind").agg(F.max(element_text(F.col("runs"))).alias("text"))
+
+
+def split_texts(texts: DataFrame, keys: list[str], model: Model, common_words: DataFrame) -> DataFrame:
+    """``keys`` and ``sent_end`` of every sentence of a column ``text``."""
+    commons = common_by_language(common_words)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ends = [sentence_ends(t, model, language_of(t, commons)) for t in pdf["text"]]
+            out = pdf[keys].assign(sent_end=ends).explode("sent_end", ignore_index=True)
+            yield out.astype({"sent_end": "int32"})
+
+    schema = ", ".join(f"{k} {t}" for k, t in texts.select(*keys).dtypes)
+    return texts.select(*keys, "text").mapInPandas(split, f"{schema}, sent_end int")
+
+
+def element_sentences(elements: DataFrame, spans: DataFrame, common_words: DataFrame, book_lines: DataFrame | None = None) -> DataFrame:
     """``book_id, el_seq, sent_end`` of the paragraphs and notes of the books
-    that occur in ``spans``.
+    that occur in ``spans``; the model is learned from all elements and from the
+    joined ``book_lines``.
 
     Every such element has a row: an empty text one with 0, a blank text one
     with its length.  Null runs read as empty; repeated rows count once (of
     differing texts the greatest); very long texts are split whole.
     """
+    texts = cut(element_texts(elements))
+    model = learn(_all_texts(texts, book_lines), common_words)
     books = spans.select("book_id").where("book_id is not null").distinct()
-    texts = (
-        elements.where("kind in ('paragraph', 'note')")
-        .join(books, "book_id", "left_semi")
-        .groupBy("book_id", "el_seq")
-        .agg(F.max(element_text(F.col("runs"))).alias("text"))
-    )
-    texts = cut(texts)
-    model = learn(texts, common_words)
-    commons = common_by_language(common_words)
+    own = texts.where("kind in ('paragraph', 'note')").join(books, "book_id", "left_semi")
+    own = own.groupBy("book_id", "el_seq").agg(F.max("text").alias("text"))
+    return split_texts(own, ["book_id", "el_seq"], model, common_words)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            book, seq, at = [], [], []
-            for b, s, t in zip(pdf["book_id"], pdf["el_seq"], pdf["text"], strict=True):
-                ends = sentence_ends(t, model, language_of(t, commons))
-                book += [b] * len(ends)
-                seq += [s] * len(ends)
-                at += ends
-            yield pd.DataFrame({"book_id": book, "el_seq": np.array(seq, dtype="int32"), "sent_end": np.array(at, dtype="int32")})
-
-    return texts.mapInPandas(split, "book_id string, el_seq int, sent_end int")
+
+def _all_texts(texts: DataFrame, book_lines: DataFrame | None) -> DataFrame:
+    return texts.select("text") if book_lines is None else texts.select("text").unionByName(joined_texts(book_lines))
+
+
+def all_sentences(elements: DataFrame, book_lines: DataFrame, common_words: DataFrame) -> DataFrame:
+    """``place, book_id, seq, sent_end`` of every sentence: place is 'element'
+    (seq is ``el_seq``; elements of every kind with text) or 'paragraph' (seq is
+    the ``para_seq`` of the reflowed paragraphs of ``book_lines``).
+    """
+    texts = cut(element_texts(elements))
+    model = learn(_all_texts(texts, book_lines), common_words)
+    own = texts.where("text <> ''").groupBy("book_id", F.col("el_seq").alias("seq")).agg(F.max("text").alias("text"))
+    lines = reflowed_paragraphs(book_lines).select("book_id", F.col("para_seq").cast("int").alias("seq"), "text")
+    both = own.withColumn("place", F.lit("element")).unionByName(lines.withColumn("place", F.lit("paragraph")))
+    return split_texts(both, ["place", "book_id", "seq"], model, common_words)

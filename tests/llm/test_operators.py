@@ -259,6 +259,33 @@ def test_scan_noise_of_nothing(spark):
     assert scans.scan_noise(lines(spark, [line(0, 0, None, None), line(0, 1, "", 9.0)])).where("noise = 'misread'").count() == 0
 
 
+def elements(spark, rows):
+    run = "array<struct<text:string,bold:boolean,italic:boolean>>"
+    return spark.createDataFrame([(b, s, k, [(t, False, False) for t in ts]) for b, s, k, ts in rows], f"book_id string, el_seq int, kind string, runs {run}")
+
+
+def test_sentences_of_all_elements_and_lines(spark, common):
+    e = elements(spark, [("b", 0, "heading", ["No. Not this."]), ("d", 0, "paragraph", ["It rained. ", "The end"]), ("d", 1, "image", [])])
+    b = scan(spark).limit(0).unionByName(lines(spark, [line(0, 1, "It was cold in the house. The"), line(0, 2, "river froze.")]))
+    got = keys(sentences.all_sentences(e, b, common), "place", "book_id", "seq", "sent_end")
+    assert got == [("element", "b", 0, 3), ("element", "b", 0, 13), ("element", "d", 0, 10), ("element", "d", 0, 18), ("paragraph", "b", 1, 25), ("paragraph", "b", 1, 42)]
+
+
+def test_sentence_model_knows_all_texts(spark, common):
+    rng = random.Random(1)
+    e = elements(spark, [("a", 0, "paragraph", ["In the house it was of Mr. Nobody and of it."])])
+    b = lines(spark, [line(p, n, f"the {words(rng, 2)} of it. In the house Mr. {words(rng, 1).title()} was with {words(rng, 1)}.", 10.0) for p in range(30) for n in range(10)])
+    s = spark.createDataFrame([("a",)], "book_id string")
+    assert keys(sentences.element_sentences(e, s, common, b), "sent_end") == [(44,)]
+    assert len(keys(sentences.element_sentences(e, s, common), "sent_end")) == 2
+
+
+def test_runs_of_scanned_books_are_mended(spark):
+    e = elements(spark, [("b", 0, "paragraph", ["The m@chine and the regis- ter, the libi", "ary of the mountain"]), ("c", 0, "paragraph", ["the m@chine"]), ("b", 1, "image", [])])
+    got = keys(scans.repaired_runs(e, scan(spark)), "book_id", "el_seq", "run", "text")
+    assert got == [("b", 0, 0, "The machine and the register, the library"), ("b", 0, 1, " of the mountain")]
+
+
 # 7 ---------------------------------------------------------------------------
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(tokens.RANK_FILE), reason="no rank file")
