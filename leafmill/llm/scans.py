@@ -150,11 +150,15 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Lexicon:
-    """What was learned of the corpus; bounded by the shares above."""
+    """What was learned of the corpus; bounded by the shares above.  ``seen``
+    holds the true counts of the rarer words and pairs of the text at hand."""
 
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], groups: dict[str, int], vectors: dict[str, np.ndarray], least: int, forms: dict[str, str] | None = None):
         self.forms = forms or {}  # the usual spelling of a folded word, accents included
         self.words, self.pairs, self.groups, self.vectors, self.least = words, pairs, groups, vectors, least
+        self.rare = max(2, least // 8)  # words from this count on are kept, pairs from ``pair_least`` on
+        self.pair_least = 3
+        self.seen: dict[tuple[str, str], int] = {}
         letters = Counter()
         for w in words:
             letters.update(set(w))
@@ -164,6 +168,39 @@ class Lexicon:
     def frequent(self, key: str) -> bool:
         return self.words.get(key, 0) >= self.least
 
+    def look(self, known) -> None:
+        """Take the counts joined to a row, for as long as it is worked on."""
+        self.seen = {(x["a"], x["b"]): x["n"] for x in known} if known is not None else {}
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.seen.get((word, ""), 0)
+
+    def pair(self, a: str, b: str) -> int:
+        return self.pairs.get((a, b)) or self.seen.get((a, b), 0)
+
+    def wanted(self, cores: list[str]) -> Iterator[tuple[str, str]]:
+        """Words and pairs that may be counted below the limits and that the
+        verdicts on these tokens read; the second word is empty for a word."""
+        keys = [fold(c) for c in cores]
+        for a, b in zip(keys, keys[1:], strict=False):
+            if a and b and self.words.get(a + b, 0) >= self.least and (a, b) not in self.pairs:
+                yield a, b
+        for key in keys:
+            if self.frequent(key) or len(key) < 2 or not _PLAIN_INNER.sub("", key).isalpha():
+                continue
+            if self.rare > 2 and key not in self.words:
+                yield key, ""
+            if len(key) < 5 or (self.pair_least <= 3 and self.rare <= RATIO):
+                continue
+            for k in range(1, len(key)):
+                a, b = key[:k], key[k:]
+                if self.rare > RATIO:
+                    yield from ((x, "") for x in (a, b) if x not in self.words)
+                elif min(self.words.get(a, 0), self.words.get(b, 0)) < RATIO:
+                    continue
+                if (a, b) not in self.pairs:
+                    yield a, b
+
     def edits(self, key: str) -> list[tuple[str, bool]]:
         """Frequent words one edit away, and whether the edit is a plausible
         confusion of glyphs."""
@@ -240,7 +277,7 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     got = _grown_apart(cores, i, key, lex)
     if got[1]:
         return got
-    count = lex.words.get(key, 0)
+    count = lex.count(key)
     bare = _PLAIN_INNER.sub("", key)
     if not bare.isalpha() or len(bare) < 2:
         return None, 0
@@ -251,18 +288,18 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     # grown together with its neighbour
     for k in range(1, len(key)):
         a, b = key[:k], key[k:]
-        if lex.words.get(a, 0) >= RATIO * max(1, count) and lex.words.get(b, 0) >= RATIO * max(1, count):
-            together = lex.pairs.get((a, b), 0)
+        if lex.count(a) >= RATIO * max(1, count) and lex.count(b) >= RATIO * max(1, count):
+            together = lex.pair(a, b)
             if together >= max(3, 2 * count) and len(key) >= 5:
                 return f"{c[:k]} {c[k:]}", 1
-    if not name and count <= max(2, lex.least // 8) and (parts_ := _segments(key, lex)):
+    if not name and count <= lex.rare and (parts_ := _segments(key, lex)):
         return " ".join(parts_), 1
     inner = re.search(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", c)
     if inner:
         return f"{c[: inner.start()]} {c[inner.start() :]}", 1
     if name and not lex.frequent(key):
         for k in range(4, len(key) - 4):
-            if lex.words.get(key[k:], 0) >= 200 * max(1, count) and not c[k].isupper():
+            if lex.count(key[k:]) >= 200 * max(1, count) and not c[k].isupper():
                 return f"{c[:k]} {c[k:]}", 1
     near_words = lex.edits(key)
     if len(key) == 2:
@@ -289,10 +326,10 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
                         return key[:j] + s + key[j + 1 :], 1
         return None, 0
     # a small letter's word no one knows, two edits from a frequent one, or the rest of a split name
-    if count <= 2 and len(key) >= 5:
+    if count <= lex.rare and len(key) >= 5:
         for w, _ in _two_edits(key, lex):
             return w, 1
-    if count <= 2 and c[:1].islower() and i and cores[i - 1][:1].isupper() and len(key) >= 2 and not lex.frequent(fold(cores[i - 1])) and not lex.frequent(key):
+    if count <= lex.rare and c[:1].islower() and i and cores[i - 1][:1].isupper() and len(key) >= 2 and not lex.frequent(fold(cores[i - 1])) and not lex.frequent(key):
         return None, 1
     return None, 0
 
@@ -343,7 +380,7 @@ def _grown_apart(cores: list[str], i: int, key: str, lex: Lexicon) -> tuple[str
     joined = lex.words.get(key + nxt, 0)
     if joined < lex.least:
         return None, 0
-    pair = lex.pairs.get((key, nxt), 0)
+    pair = lex.pair(key, nxt)
     both = lex.frequent(key) and lex.frequent(nxt)
     if pair * RATIO > joined or (both and (pair >= 3 or min(len(key), len(nxt)) < 2 or joined < 100)):
         return None, 0
@@ -367,14 +404,15 @@ def _choose(found: list[tuple[str, bool]], lex: Lexicon, near: list[str], count:
     return best
 
 
-def learn(pages: DataFrame) -> Lexicon:
-    """Counts and skip-gram vectors over all lines of all pages."""
+def learn(pages: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """Counts and skip-gram vectors over all lines of all pages; and ``a, b, n``
+    of the words (``b`` empty) and pairs too rare for the lexicon, to be joined."""
     counts = cut(
         pages.select("lines", "body").mapInPandas(_count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
     )
     total = counts.where("what = 'word'").agg(F.sum("n")).first()[0] or 0
     least, least_pair = max(MIN_COUNT, int(WORD_SHARE * total)), max(3, int(PAIR_SHARE * total))
-    # rarer words are only wanted with their counts near the limit: unknown ones count as rare
+    # the counts of rarer ones are joined to the rows that need them
     def read(what: str, limit: int) -> pd.DataFrame:
         return counts.where((F.col("what") == what) & (F.col("n") >= limit)).select("a", "b", "n").toPandas()
 
@@ -386,7 +424,40 @@ def learn(pages: DataFrame) -> Lexicon:
     best = f.sort_values(["n", "b"]).drop_duplicates("a", keep="last")
     forms = {a: b for a, b, n in zip(best["a"], best["b"], best["n"], strict=True) if 2 * n > words.get(a, 0)}
     vectors = _vectors(pages, least, {a for a, n in words.items() if n >= least})
-    return Lexicon(words, pairs, groups, vectors, least, forms)
+    lex = Lexicon(words, pairs, groups, vectors, least, forms)
+    lex.pair_least = least_pair
+    rest = counts.where((F.col("what") == "word") & (F.col("n") < lex.rare) | (F.col("what") == "pair") & (F.col("n") < least_pair))
+    return lex, rest.select("a", "b", "n")
+
+
+def with_counts(rows: DataFrame, key: list[str], lines_of, lex: Lexicon, rest: DataFrame) -> DataFrame:
+    """``rows`` with a column ``known``: the true counts of what is too rare for
+    the lexicon and wanted for their lines of tokens (``lines_of`` a row)."""
+
+    def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.to_dict("records"):
+                need = {x for cores in lines_of(row, lex) for x in lex.wanted(cores)}
+                out += [(*(row[k] for k in key), a, b) for a, b in need]
+            yield pd.DataFrame(out, columns=[*key, "a", "b"])
+
+    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*key).dtypes)
+    found = rows.mapInPandas(want, f"{schema}, a string, b string").join(rest, ["a", "b"])
+    known = found.groupBy(*key).agg(F.collect_list(F.struct("a", "b", "n")).alias("known"))
+    return rows.join(known, key, "left")
+
+
+def _page_lines(row: dict, lex: Lexicon) -> list[list[str]]:
+    """The tokens of the lines of a page, and its broken words joined."""
+    rows = row["lines"]
+    toks, breaks = _page_tokens(rows, margin_flags(rows, row["body"]))
+    joined = [[core(toks[a][-1]).rstrip("-‐¬\u00ad‑") + core(toks[b][0])] for a, b in breaks]
+    return [[core(t) for t in line] for line in toks] + [x for x in joined if x[0]]
+
+
+def _run_lines(row: dict, lex: Lexicon) -> list[list[str]]:
+    return [[core(t) for t in _joined_breaks("".join(row["texts"]), lex)[0].split()]]
 
 
 def _vectors(pages: DataFrame, least: int, known: set[str]) -> dict[str, np.ndarray]:
@@ -414,7 +485,8 @@ def _vectors(pages: DataFrame, least: int, known: set[str]) -> dict[str, np.ndar
 def _noise(batches: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out: list[tuple] = []
-        for book, page, rows, body in zip(pages["book_id"], pages["page"], pages["lines"], pages["body"], strict=True):
+        for book, page, rows, body, known in zip(pages["book_id"], pages["page"], pages["lines"], pages["body"], pages["known"], strict=True):
+            lex.look(known)
             edge = margin_flags(rows, body)
             bad, _, _ = page_misread(rows, edge, lex)
             last_body = max((i for i in range(len(rows)) if not edge[i]), default=-1)
@@ -479,7 +551,7 @@ def page_misread(rows, edge, lex: Lexicon) -> tuple[set[int], list[list[str]], l
             continue
         if left[:1].isupper():
             continue
-        ok = [(w, p) for w, p in lex.edits(key) if lex.words[w] >= RATIO * max(1, lex.words.get(key, 0))]
+        ok = [(w, p) for w, p in lex.edits(key) if lex.words[w] >= RATIO * max(1, lex.count(key))]
         best = _choose(ok, lex, [fold(core(t)) for t in toks[a][-4:-1] + toks[b][1:4]], 1)
         if best:
             same = next((k for k, (x, y) in enumerate(zip(key, best, strict=False)) if x != y), min(len(key), len(best)))
@@ -495,8 +567,8 @@ def scan_noise(book_lines: DataFrame) -> DataFrame:
     or ``page`` is no record.  Extra columns are ignored.
     """
     pages = cut(pages_of(book_lines))
-    lex = learn(pages)
-    return pages.mapInPandas(
+    lex, rest = learn(pages)
+    return with_counts(pages, ["book_id", "page"], _page_lines, lex, rest).mapInPandas(
         lambda it: _noise(it, lex), "book_id string, page int, block_seq int, line_seq int, noise string"
     ).distinct()
 
@@ -504,8 +576,10 @@ def scan_noise(book_lines: DataFrame) -> DataFrame:
 def _page_paragraphs(batches: Iterator[pd.DataFrame], lex: Lexicon | None) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out: list[tuple] = []
-        for book, page, rows, body in zip(pages["book_id"], pages["page"], pages["lines"], pages["body"], strict=True):
+        for n_page, (book, page, rows, body) in enumerate(zip(pages["book_id"], pages["page"], pages["lines"], pages["body"], strict=True)):
             edge = margin_flags(rows, body)
+            if lex:
+                lex.look(pages["known"].iloc[n_page])
             fixed, breaks = page_misread(rows, edge, lex)[1:] if lex else _page_tokens(rows, edge)
             joins = {a: b for a, b in breaks}
             right = np.median([r["x1"] for k, r in enumerate(rows) if not edge[k] and r["x1"] is not None] or [0])
@@ -538,6 +612,18 @@ def _compound(left: str, right: str, lex: Lexicon) -> bool:
     return lex.frequent(apart) and lex.words[apart] > lex.words.get(joined, 0)
 
 
+def _joined_breaks(text: str, lex: Lexicon) -> tuple[str, list[tuple[int, int, str]]]:
+    """A text with its broken words joined, and the places and what stands there then."""
+    breaks, out, last = [], [], 0
+    for m in _RUN_BREAK.finditer(text):
+        right = text[m.end() :].split(None, 1)[0]
+        left = text[: m.start()].rsplit(None, 1)[-1]
+        breaks.append((m.start(), m.end(), "-" if _compound(left, right, lex) else ""))
+        out += [text[last : m.start()], breaks[-1][2]]
+        last = m.end()
+    return "".join([*out, text[last:]]), breaks
+
+
 def mended_runs(texts: list[str], lex: Lexicon) -> list[str]:
     """The run texts of an element with broken words joined and misread words
     corrected.  A word that crosses runs stays in the run it begins in."""
@@ -550,12 +636,7 @@ def mended_runs(texts: list[str], lex: Lexicon) -> list[str]:
             chars = chars[:a] + new + chars[b:]
             owner[a:b] = [owner[a]] * len(new)
 
-    breaks = []
-    for m in _RUN_BREAK.finditer(chars):
-        right = chars[m.end() :].split(None, 1)[0]
-        left = chars[: m.start()].rsplit(None, 1)[-1]
-        breaks.append((m.start(), m.end(), "-" if _compound(left, right, lex) else ""))
-    put(breaks)
+    put(_joined_breaks(chars, lex)[1])
     at = [m.span() for m in re.finditer(r"\S+", chars)]
     tokens = [chars[a:b] for a, b in at]
     cores = [core(t) for t in tokens]
@@ -589,16 +670,17 @@ def repaired_runs(elements: DataFrame, book_lines: DataFrame) -> DataFrame:
         .groupBy("book_id", "el_seq")
         .agg(F.max(F.transform("runs", lambda r: F.coalesce(r["text"], F.lit("")))).alias("texts"))
     )
-    lex = learn(cut(pages_of(book_lines)))
+    lex, rest = learn(cut(pages_of(book_lines)))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (b, s, k, t) for b, s, texts in zip(pdf["book_id"], pdf["el_seq"], pdf["texts"], strict=True) for k, t in enumerate(mended_runs(list(texts), lex))
-            ]
+            rows: list[tuple] = []
+            for b, s, texts, known in zip(pdf["book_id"], pdf["el_seq"], pdf["texts"], pdf["known"], strict=True):
+                lex.look(known)
+                rows += [(b, s, k, t) for k, t in enumerate(mended_runs(list(texts), lex))]
             yield pd.DataFrame(rows, columns=["book_id", "el_seq", "run", "text"])
 
-    return runs.mapInPandas(mend, "book_id string, el_seq int, run int, text string")
+    return with_counts(runs, ["book_id", "el_seq"], _run_lines, lex, rest).mapInPandas(mend, "book_id string, el_seq int, run int, text string")
 
 
 def joined_texts(book_lines: DataFrame) -> DataFrame:
@@ -616,8 +698,8 @@ def reflowed_paragraphs(book_lines: DataFrame) -> DataFrame:
     from leafmill.llm.notices import without_repeated_lines
 
     pages = cut(pages_of(without_repeated_lines(book_lines)))
-    lex = learn(pages)
-    parts = pages.mapInPandas(lambda it: _page_paragraphs(it, lex), "book_id string, page int, seq int, text string")
+    lex, rest = learn(pages)
+    parts = with_counts(pages, ["book_id", "page"], _page_lines, lex, rest).mapInPandas(lambda it: _page_paragraphs(it, lex), "book_id string, page int, seq int, text string")
     order = W.partitionBy("book_id").orderBy("page", "seq")
     before = F.lag("text").over(order)
     runs_on = (F.col("seq") == 0) & before.isNotNull() & (~before.rlike(r"[.!?…:][”»\"')]*$") | F.col("text").rlike(r"^\p{Ll}"))
