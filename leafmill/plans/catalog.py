@@ -257,8 +257,17 @@ def job_windows(spark, d):
 
 
 def document_lines(spark, d):
-    """Plain texts as lines: pages and lines of every source."""
-    lines = spans.documents_as_lines(table(spark, d, "documents").where("source is not null"))
+    """Plain texts as lines: pages and lines of every source that is named."""
+    return _book_lines(table(spark, d, "documents").where("source is not null"))
+
+
+def document_lines_all(spark, d):
+    """The same of all documents, those without a source included."""
+    return _book_lines(table(spark, d, "documents"))
+
+
+def _book_lines(documents: DataFrame) -> DataFrame:
+    lines = spans.documents_as_lines(documents)
     return lines.groupBy("book_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("lines"), F.max("x1").alias("widest"))
 
 
@@ -268,7 +277,7 @@ _QUERIES = [
     paragraph_stats, toc_pages, paragraphs_without_toc, heading_candidates, heading_levels, footnotes, all_caps_lines, list_items, chapter_lines,
     sanitize_clean, fold_keys, running_titles, split_headings_merged, classified, converted_elements, converted_runs, title_author, book_stats,
     book_warnings, results_json, docx_render, element_counts, toc_outline, style_selection, image_widths, notes_section, continuations,
-    metadata_titles, safe_names, job_windows, document_lines,
+    metadata_titles, safe_names, job_windows, document_lines, document_lines_all,
 ]
 
 

@@ -36,15 +36,20 @@ def clean_metadata(metadata: Column) -> Column:
     return F.transform_values(metadata, lambda _, v: utrim(F.coalesce(v, F.lit(""))))
 
 
+#: The book of documents whose source is null.
+NO_SOURCE = "(no source)"
+
+
 def documents_as_lines(documents: DataFrame) -> DataFrame:
-    """Plain texts in the shape of lines: one book a source, one page a document.
+    """Plain texts in the shape of lines: one book a source, one page a document;
+    the documents without a source make the book ``NO_SOURCE``.
 
     The page number is the rank of ``doc_id`` in its source; geometry is whole
     numbers, so that layout rules can run on it.
     """
     from pyspark.sql import Window as W
 
-    d = documents.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("source").alias("book_id"))
+    d = documents.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.coalesce(F.max("source"), F.lit(NO_SOURCE)).alias("book_id"))
     order = W.partitionBy("book_id").orderBy("doc_id")
     p = d.withColumn("page", F.row_number().over(order) - 1)
     lines = p.select("book_id", "page", F.posexplode(F.split("text", "\n")).alias("line_seq", "text"))

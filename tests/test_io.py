@@ -84,3 +84,12 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"1")
     (tmp_path / "b.txt").write_bytes(b"2")
     assert src.binary_files(spark, str(tmp_path)).count() == 1
+
+
+def test_documents_without_a_source_are_kept(spark, tmp_path):
+    from leafmill.plans import catalog
+
+    rows = [(1, "one\ntwo", "s"), (2, "three", None), (3, "four\n\nfive", None), (3, "four\n\nfive", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["book_id"]: (r["pages"], r["lines"]) for r in catalog.queries()["document_lines_all"](spark, str(tmp_path)).collect()}
+    assert got == {"s": (1, 2), "(no source)": (2, 3)}
