@@ -25,10 +25,18 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{fffe}\x{ffff}]"
 BULLET = rf"^[{WS}]*([•·▪◦‣∙*–—\-])[{WS}]+"
 ENUMERATOR = rf"(?i)^[{WS}]*(\(?[0-9]{{1,3}}[.)]|\(?[a-z][.)]|\(?[ivxlcdm]{{1,5}}[.)])[{WS}]+"
-CHAPTER_WORDS = (
-    r"cap[íi]tulo|chapter|parte|part|se[çc][ãa]o|section|livro|book|ato|apêndice|ap[êe]ndice|anexo|ep[íi]logo|"
-    r"pr[óo]logo|introdu[çc][ãa]o|conclus[ãa]o|pref[áa]cio"
-)
+CHAPTER_NAMES = (
+    "anexo", "apêndice", "ato", "book", "capítulo", "chapter", "conclusão", "epílogo", "introdução", "livro", "part", "parte",
+    "prefácio", "prólogo", "seção", "section",
+)
+
+
+def _accent_or_none(word: str) -> str:
+    """A pattern of the word in which accented letters may stand without accent."""
+    return "".join(c if c.isascii() else f"[{c}{unicodedata.normalize('NFD', c)[0]}]" for c in word)
+
+
+CHAPTER_WORDS = "|".join(map(_accent_or_none, CHAPTER_NAMES))
 CHAPTER = rf"(?i)^[{WS}]*({CHAPTER_WORDS})($|[^\p{{L}}\p{{M}}\p{{N}}_])"
 NUMBERED = rf"^[{WS}]*[0-9]{{1,2}}(\.[0-9]{{1,2}}){{0,2}}[{WS}]+[^{WS}]"
 TOC_LEADER = rf"([.·][{WS}]?){{4,}}"

@@ -34,8 +34,17 @@ def elements_of(classified: DataFrame, images: DataFrame, body_blocks: DataFrame
         F.lit("").alias("marker"), F.array().cast("array<struct<text:string,bold:boolean,italic:boolean>>").alias("runs"),
         F.lit("").alias("text"), "digest", (F.col("x1") - F.col("x0")).alias("image_w"), (F.col("y1") - F.col("y0")).alias("image_h"), "ext",
     )
-    order = W.partitionBy("book_id").orderBy("page", "read_seq", "part", "kind")
-    return paras.unionByName(pictures).withColumn("seq", F.row_number().over(order) - 1).select(*ELEMENT)
+    return _numbered(paras.unionByName(pictures)).select(*ELEMENT)
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """Items with ``seq``, their place in the book from 0: the rank in the page
+    and, joined to it, how many items the pages before hold.  No window sees more
+    than a page of items, or a book's pages as bare counts."""
+    before = F.sum("n").over(W.partitionBy("book_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
+    first = items.groupBy("book_id", "page").agg(F.count("*").alias("n")).select("book_id", "page", F.coalesce(before, F.lit(0)).alias("first"))
+    rank = F.row_number().over(W.partitionBy("book_id", "page").orderBy("read_seq", "part", "kind", "digest"))
+    return items.withColumn("rank", rank).join(first, ["book_id", "page"]).withColumn("seq", (F.col("first") + F.col("rank") - 1).cast("int"))
 
 
 def split_notes(elements: DataFrame, policy: str = "end") -> tuple[DataFrame, DataFrame]:
@@ -51,7 +60,7 @@ def inferred_titles(elements: DataFrame, books: DataFrame, options: Options | No
     """``book_id, title, author``: from metadata, else from the first elements."""
     o = options or Options()
     order = W.partitionBy("book_id").orderBy("seq")
-    first = elements.withColumn("rn", F.row_number().over(order)).where("rn <= 12")
+    first = elements.select("book_id", "seq", "page", "kind", "text").withColumn("rn", F.row_number().over(order)).where("rn <= 12")
     fits = (F.length("text") > 3) & (F.length("text") < 120)
     front = (F.col("rn") <= 6) & (F.col("page") == 0)
     g = first.groupBy("book_id").agg(
@@ -100,15 +109,21 @@ def book_stats(elements: DataFrame, notes: DataFrame, books: DataFrame, body: Da
 
 
 def warnings_of(stats: DataFrame) -> DataFrame:
-    """``book_id, warnings``: what a reader of the result should know.
+    """``book_id, warnings``: what a reader of the result should know, in the order
+    of the stages.
 
-    ``stats`` may carry ``scanned`` and ``toc_pages_dropped``.
+    ``stats`` may carry ``scanned``, ``recognised_pages``, ``failed_pages`` and
+    ``toc_pages_dropped``; what is missing or null gives no warning.
     """
-    scanned = F.col("scanned") if "scanned" in stats.columns else F.lit(False)
-    toc = F.col("toc_pages_dropped") if "toc_pages_dropped" in stats.columns else F.lit(0)
+    there = set(stats.columns)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int") if c in there else F.lit(0)
+    scanned = F.coalesce(F.col("scanned"), F.lit(False)) if "scanned" in there else F.lit(False)
+    read, failed, toc = number("recognised_pages"), number("failed_pages"), number("toc_pages_dropped")
     found = F.array(
-        F.when(F.coalesce(scanned, F.lit(False)), F.lit("scanned: hardly any text layer")),
-        F.when(F.coalesce(toc, F.lit(0)) > 0, F.format_string("contents: %d page(s) left out", F.coalesce(toc, F.lit(0)).cast("int"))),
+        F.when(read > 0, F.format_string("recognition: %d page(s) read from images", read)),
+        F.when(failed > 0, F.format_string("recognition: %d page(s) failed, their text layer was kept", failed)),
+        F.when(scanned & (read == 0), F.lit("scanned: hardly any text layer")),
+        F.when(toc > 0, F.format_string("contents: %d page(s) left out", toc)),
         F.when((F.col("headings") == 0) & (F.coalesce("pages", F.lit(0)) > 5), F.lit("headings: none found")),
     )
     return stats.select("book_id", F.filter(found, lambda w: w.isNotNull()).alias("warnings"))
@@ -117,12 +132,15 @@ def warnings_of(stats: DataFrame) -> DataFrame:
 def front_duplicates(elements: DataFrame, titles: DataFrame) -> DataFrame:
     """Elements with ``duplicate``: title or author repeated at the very front."""
     order = W.partitionBy("book_id").orderBy("seq")
-    d = elements.withColumn("rn", F.row_number().over(order)).withColumn("later", F.max(F.col("page") > 0).over(order))
-    j = d.join(titles.select("book_id", X.front_key(F.col("title")).alias("k1"), X.front_key(F.col("author")).alias("k2")), "book_id", "left")
+    # the rank is bounded before anything is shuffled: six narrow rows a book
+    front = elements.select("book_id", "seq", "page", "kind", "text").withColumn("rn", F.row_number().over(order)).where("rn <= 6")
+    front = front.withColumn("later", F.max(F.col("page") > 0).over(order))
+    keys = titles.select("book_id", X.front_key(F.col("title")).alias("k1"), X.front_key(F.col("author")).alias("k2"))
     key = X.front_key(F.col("text"))
     same = (key != "") & ((key == F.col("k1")) | (key == F.col("k2")))
-    dup = (F.col("rn") <= 6) & ~F.col("later") & F.col("kind").isin("heading", "paragraph") & same
-    return j.withColumn("duplicate", F.coalesce(dup, F.lit(False))).drop("rn", "later", "k1", "k2")
+    found = front.where(~F.coalesce("later", F.lit(False)) & F.col("kind").isin("heading", "paragraph")).join(keys, "book_id").where(same)
+    marks = found.select("book_id", "seq", F.lit(True).alias("duplicate"))
+    return elements.join(marks, ["book_id", "seq"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
 def image_width_cm(width_pt: Column) -> Column:
@@ -139,7 +157,8 @@ def styled(elements: DataFrame, options: Options | None = None) -> DataFrame:
     o = options or Options()
     kept = elements.where((F.col("kind") != "image") | acceptable_image(F.col("ext")))
     order = W.partitionBy("book_id").orderBy("seq")
-    before = F.lag("kind").over(order)
+    places = kept.select("book_id", "seq", F.lag("kind").over(order).alias("before"), (F.row_number().over(order) == 1).alias("first"))
+    before, first = F.col("before"), F.col("first")
     level = F.greatest(F.lit(1), F.least(F.lit(3), F.when(F.coalesce("level", F.lit(0)) == 0, 1).otherwise(F.col("level"))))
     style = (
         F.when(F.col("kind") == "heading", F.concat(F.lit("Heading "), level.cast("string")))
@@ -148,11 +167,10 @@ def styled(elements: DataFrame, options: Options | None = None) -> DataFrame:
         .when(F.col("kind") == "note", "Note")
         .otherwise("Figure")
     )
-    first = F.row_number().over(order) == 1
     heading = F.col("kind") == "heading"
     chapter = heading & (level == 1) & ~first & F.lit(o.page_break_chapters)
     opening = heading & first & F.lit(o.toc or o.title_page)
-    return kept.withColumns({"style": style, "page_break": chapter | opening})
+    return kept.join(places, ["book_id", "seq"]).withColumns({"style": style, "page_break": chapter | opening}).drop("before", "first")
 
 
 def notes_section(notes: DataFrame) -> DataFrame:

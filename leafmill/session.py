@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests, one machine) make one of our own."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, one machine (a local master) gets a folder of its own,
+    removed at exit; a cluster is an error, as its nodes share no local disk.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "leafmill-checkpoint"))
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all nodes share")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def picture(rid: str, number: int, width_cm: float, ratio: float) -> str:
 
 def render(title: str, author: str, elements: list[dict], notes: list[dict], o: Options) -> bytes:
     """One document; ``elements`` in order with style, page_break, runs and, of
-    images, bytes, ext and width; ``notes`` with text and page."""
+    images, bytes, ext and width; ``notes`` with runs and page."""
     body, media, number = [], [], 0
     title = title or "Documento"
     if o.title_page:
@@ -106,7 +106,9 @@ def render(title: str, author: str, elements: list[dict], notes: list[dict], o:
             body.append(paragraph(sid, runs, bool(e["page_break"])))
     if notes:
         body.append(paragraph("Heading1", run(SECTION_TITLES["notes"]), page_break=True))
-        body += [paragraph("Note", run(f"[p. {n['page'] + 1}] ", bold=True) + run(n["text"])) for n in notes]
+        for n in notes:
+            runs = "".join(run(r["text"], r["bold"], r["italic"]) for r in n["runs"])
+            body.append(paragraph("Note", run(f"[p. {n['page'] + 1}] ", bold=True) + runs))
     sect = f'<w:sectPr><w:pgSz w:w="{15 * _CM}" w:h="{21 * _CM}"/><w:pgMar w:top="{int(1.5 * _CM)}" w:right="{int(1.5 * _CM)}" w:bottom="{int(1.5 * _CM)}" w:left="{int(1.5 * _CM)}"/></w:sectPr>'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     rels = [f'<Relationship Id="rId1" Type="{rel}/styles" Target="styles.xml"/>', f'<Relationship Id="rId2" Type="{rel}/settings" Target="settings.xml"/>']
@@ -154,7 +156,7 @@ def documents(styled: DataFrame, notes: DataFrame, titles: DataFrame, images: Da
         e = e.withColumn("image", F.lit(None).cast("binary"))
     item = F.struct("seq", "kind", "style", "page_break", "runs", "image", "ext", "image_w", "image_h", "width_cm")
     els = e.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").alias("at"), item.alias("e"))).cast(_element_type())).alias("els"))
-    ns = notes.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "page"))).alias("notes"))
+    ns = notes.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("seq", "runs", "page"))).alias("notes"))
     j = titles.join(els, "book_id", "left").join(ns, "book_id", "left")
 
     def write(batches):

@@ -36,6 +36,8 @@ def clean_metadata(metadata: Column) -> Column:
     return F.transform_values(metadata, lambda _, v: utrim(F.coalesce(v, F.lit(""))))
 
 
+#: Ids that are ranked together; bounds the rows of one window.
+PAGE_STRETCH = 100_000
 #: The book of documents whose source is null.
 NO_SOURCE = "(no source)"
 
@@ -50,8 +52,15 @@ def documents_as_lines(documents: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     d = documents.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.coalesce(F.max("source"), F.lit(NO_SOURCE)).alias("book_id"))
-    order = W.partitionBy("book_id").orderBy("doc_id")
-    p = d.withColumn("page", F.row_number().over(order) - 1)
+    # ranks of a stretch of ids, and how many the stretches before hold: a source
+    # with a large share of all documents is spread over its stretches
+    stretch = F.floor(F.col("doc_id") / PAGE_STRETCH)
+    ids = d.select("book_id", "doc_id", stretch.alias("stretch"))
+    before = F.sum("n").over(W.partitionBy("book_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    first = ids.groupBy("book_id", "stretch").agg(F.count("*").alias("n")).select("book_id", "stretch", F.coalesce(before, F.lit(0)).alias("first"))
+    rank = F.row_number().over(W.partitionBy("book_id", "stretch").orderBy("doc_id"))
+    pages = ids.withColumn("rank", rank).join(first, ["book_id", "stretch"]).select("doc_id", (F.col("first") + F.col("rank") - 1).cast("int").alias("page"))
+    p = d.join(pages, "doc_id")
     lines = p.select("book_id", "page", F.posexplode(F.split("text", "\n")).alias("line_seq", "text"))
     t = utrim(F.col("text"))
     return lines.withColumn("text", t).where("text <> ''").select(
