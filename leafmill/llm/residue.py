@@ -1,32 +1,64 @@
 """Problem 9: template residue, filler, error messages and script notices.
 
-Documents are cut into units (sentences and lines).  Units the patterns know
-for sure are trusted labels; a prefix-filtered set-similarity join finds all
-near-duplicates of whole-unit residue, the shingle similarity verifies them, and
-labels spread along these links until no component gains a member.  Units that
-quote residue or speak about it are trusted the other way and stop the spread.
+Documents are cut into units (sentences and lines).  Unfilled placeholders are
+residue by their syntax and stay where they are.  Everything else spreads from
+a few trusted texts: every unit gets a SimHash fingerprint, four tables of its
+16-bit blocks are probed with all blocks within three bits of a trusted one, so
+that every fingerprint within 15 bits is met; the Hamming distance and then the
+similarity of the shingles verify a link, and labels run along these links from
+the trusted texts until no connected component gains a member.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.simhash import codes_of, gram_hashes, pack, signs
 from leafmill.llm.textkeys import fold
 from leafmill.session import broadcast_if_small, cut
 
-SIMILARITY = 0.8  # Jaccard of character shingles; units are too short for word shingles
-SHINGLE = 4
-SAMPLE = 20_000  # units whose shingle counts give the order of rarity; any order finds all pairs
+SIMILARITY = 0.8  # Jaccard of the shingles of two units; units are too short for shingles of five words
+SHINGLE = 3  # letters of a shingle, taken inside the padded words of a unit
+RADIUS = 15  # bits; two units of the similarity above differ by ten on average
+FLIPS = 3  # bits changed in a probe of one of four blocks: 4 * (FLIPS + 1) - 1 = RADIUS
+
+#: Trusted residue, one text a wording (fixed values).  Letter case, accents,
+#: digits, punctuation and the order of words play no part.
+SEEDS = (
+    # scripts and cookies
+    "Please enable JavaScript to read this book.", "Cookies and JavaScript must be enabled to continue.",
+    "This reader needs scripts turned on in your browser.", "Your browser has blocked scripts; allow them and reload.",
+    "Ative o JavaScript para ler este livro.", "Para continuar, habilite cookies e JavaScript.",
+    "Este leitor precisa de scripts habilitados no navegador.", "Seu navegador bloqueou os scripts; libere-os e recarregue.",
+    "Active JavaScript para leer este libro.", "Para continuar, habilite cookies y JavaScript.",
+    "Este lector necesita los scripts habilitados en el navegador.", "Su navegador bloqueó los scripts; permítalos y recargue.",
+    # errors
+    "404 - the book page could not be found", "Erro 404: a página do livro não foi encontrada", "Error 404: la página del libro no se encontró",
+    "Internal server error (500).", "Ocorreu um erro interno no servidor (500).", "Error interno del servidor (500).",
+    "Service temporarily unavailable for maintenance", "Serviço temporariamente indisponível para manutenção", "Servicio temporalmente no disponible por mantenimiento",
+    "Too many requests.", "Wait 30 seconds.", "Muitas solicitações.", "Aguarde 30 segundos.", "Demasiadas solicitudes.", "Espere 30 segundos.",
+    "Access denied.", "Your session has expired, sign in again.", "Acesso negado.", "Sua sessão expirou, entre de novo.", "Acceso denegado.", "Su sesión caducó, entre de nuevo.",
+    "The requested file does not exist or was removed.", "O arquivo solicitado não existe ou foi removido.", "El archivo solicitado no existe o fue retirado.",
+    "Conversion failed: the file is damaged.", "Falha na conversão: o arquivo está corrompido.", "Falló la conversión: el archivo está dañado.",
+    # what was to be filled in
+    "Your text goes here.", "Insert the blurb in this box.", "Placeholder paragraph, replace before publishing.", "TBD - section to be completed",
+    "Escreva aqui o texto do capítulo.", "Insira a sinopse neste campo.", "Texto provisório, substituir antes de publicar.", "TODO: completar esta seção",
+    "Escriba aquí el texto del capítulo.", "Inserte la sinopsis en este campo.", "Texto de relleno, sustituir antes de publicar.", "PENDIENTE: completar esta sección",
+)
+#: Words of filler (fixed values): a unit of nothing else is trusted as well.
+FILLER = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
+    "lorva ipsel dolit amentu consec tempra velitu fugit nostra xxxx xxxxx asdf qwer qwerty bla test teste foo bar 0".split()
+)
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _END = re.compile(r"[.!?…:;।؟。！？]['\"”’»)\]]*$")
@@ -34,83 +66,64 @@ _SPLIT = re.compile(r"(?<=[.!?…।؟])(?<!\bp\.)['\"”’»)\]]*\s+(?=[^\W\d_
 
 _NAME = r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ]*(?:[_ .-][A-Za-zÀ-ÿ0-9]+)*"
 _FIELD = r"(?:[a-zà-ÿ]{3,}(?:_[a-zà-ÿ0-9]+)*|[A-ZÀ-Ý]{3,}(?:_[A-ZÀ-Ý0-9]+)*)"
-#: Unfilled placeholders, bracketed in any of the usual ways.
+_UNSET = r"(?:undefined|NaN|null|UNDEFINED|NAN|NULL)"
+#: Unfilled placeholders, bracketed in any of the usual ways, and values that were never set.
 PLACEHOLDER = re.compile(
     rf"\{{\{{\s*(?:{_NAME})?\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|@@\s*{_NAME}\s*@@"
     rf"|\[\[\s*(?:{_NAME})?\s*\]\]|(?<!\w)__{_FIELD}__(?!\w)|(?<![\w%])%{_FIELD}%(?!\w)|(?<![\w#])\#{_FIELD}\#(?!\w)"
     rf"|(?<![\w)\]$\{{])\{{(?:{_FIELD}|\d)\}}(?!\}})|(?<![\w)\]\[!])\[{_FIELD}\](?![(\[\]])"
     rf"|(?<!\w)%(?:\d\$)?[ds]\b(?=[:,;.\s]|$)|(?<=[:\s])_{{5,}}(?=\s|$|[.,;])"
+    rf"|\[[oO][bB][jJ][eE][cC][tT] [oO][bB][jJ][eE][cC][tT]\]|\b{_UNSET}\b(?=\W+(?:\w{{1,3}}\W+)?{_UNSET}\b)"
 )
-_OPENING = re.compile(r"[{\[<@_%#]")
-
-# Patterns on folded text (lower case, no accents).  Fixed phrases of software
-# and templates in the languages of the corpus, each with its usual variants.
-REPEATED = r"\b(?:x{4,}\s+){2,}x{4,}|\b(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)(?:\s+(?:asdf|qwer|qwerty|bla|teste?|test|foo|bar|123)){3,}\b"
-FILLER = re.compile(
-    rf"\blorem ipsum\b|{REPEATED}"
-    r"|\b(?:todo|tbd|pendiente|a completar|fixme)\s*[:\-–—]\s*\w+"
-    r"|\b(?:texto|parrafo|paragrafo) (?:provisori[oa]|de relleno|de preenchimento|de exemplo|de ejemplo)\b.*\b(?:substituir|sustituir|trocar|antes de)"
-    r"|\bplaceholder (?:paragraph|text|copy)\b|\b(?:your|sample|dummy) text (?:goes|here|only)\b|\btext goes here\b"
-    r"|^\W*(?:insira|inserte|insert|escreva|escriba|write|digite|type|coloque|ponga|put|add|preencha|rellene)\b.{0,40}\b(?:aqui|here|neste campo|en este campo|in this (?:box|field)|nesta caixa|en esta caja|este espaco|this space)\b"
-)
-ERROR = re.compile(
-    r"\b(?:erro|error|erreur|fehler|ошибка) ?[:#]? ?[45]\d\d\b|^\W*[45]\d\d\s*[-–—:]\s*\w+"
-    r"|\berro interno\b|\berror interno\b|\binternal server error\b|\bbad gateway\b|\bgateway timeout\b"
-    r"|\b(?:page|pagina)\b.{0,25}\b(?:could not be found|not found|nao (?:foi )?encontrada|no (?:se|fue) (?:encontro|encontrada))\b"
-    r"|\b(?:service|servico|servicio) (?:is )?(?:temporarily|temporariamente|temporalmente|no disponible|unavailable|indisponivel)\b"
-    r"|\btoo many requests\b|\bmuitas solicitacoes\b|\b(?:demasiadas|muchas) (?:solicitudes|peticiones)\b|\bmuitos pedidos\b"
-    r"|\b(?:aguarde|espere|wait) \d+ (?:segundos|seconds)\b"
-    r"|\baccess (?:is )?denied\b|\bacesso negado\b|\bacceso denegado\b|\b(?:session|sessao|sesion) (?:has |have |ha )?(?:expired|expirou|expiro|caduco|caducado|expirado)\b"
-    r"|\b(?:requested file|arquivo solicitado|archivo solicitado|fichero solicitado)\b.{0,40}(?:does not|was|nao|no existe|foi|fue)"
-    r"|\b(?:conversion failed|falha na conversao|conversao falhou|fallo (?:de|en) la conversion|la conversion fallo|error de conversion|erro (?:de|na) conversao)\b"
-    r"|\b(?:file|arquivo|archivo) (?:is |esta )(?:damaged|corrupt(?:ed)?|danificado|corrompido|danado|corrupto)\b"
-    r"|\bundefined\b.{0,12}\b(?:null|nan|undefined)\b|\b(?:by|por|de|of) (?:null|undefined|nan)\b|\bnan (?:de|of) nan\b|\[object object\]|\bnullpointerexception\b|\btraceback \(most recent"
-)
-SCRIPTS = re.compile(
-    r"\b(?:please )?(?:enable|activate|allow|turn on) (?:java ?script|scripts|cookies)\b|\b(?:ative|active|habilite|permita|ligue) (?:o |los |os |el |cookies e |cookies y )?(?:java ?script|scripts|cookies)\b"
-    r"|\b(?:java ?script|cookies|scripts)\b.{0,30}\b(?:must be|need to be|precisam? (?:ser|estar)|deben? (?:ser|estar)|is required|are required|required)\b"
-    r"|\b(?:needs|requires|precisa de|necesita(?: los)?|requer|requiere) (?:java ?script|scripts|cookies)\b"
-    r"|\b(?:browser|navegador)\b.{0,20}\b(?:blocked|bloqueou|bloqueo|blocks)\b.{0,12}\bscripts?\b"
-)
-#: A word of every pattern above: units without one are none of them.
-_HINT = re.compile(
-    r"lorem|xxxx|asdf|qwer|bla |test|foo|todo|tbd|pendiente|completar|fixme|provisori|relleno|preenchimento|exemplo|ejemplo|placeholder|text |aqui|here|"
-    r"campo|field|box|caixa|caja|espaco|space|[45]\d\d|err|fehler|ошибка|gateway|pagina|page|servic|too many|solicit|peticiones|pedidos|segundos|seconds|"
-    r"acces|acess|session|sessao|sesion|file|arquivo|archivo|fichero|convers|undefined|null|nan|object|traceback|script|cookie"
-)
-# Signs of prose that speaks about such things (folded).
-REPORTED = re.compile(
-    r"\b(?:says|said|asked|recalls|explains|discuss(?:es|ed)?|essay|manual|article|conta|contou|pediam|pediu|lembra|lembrou|explica|explicou|discute|artigo|ensaio|"
-    r"cuenta|conto|pedian|recuerda|ensayo|articulo|replaced by|trocado|se cambia|dit|raconte|erzahlt|sagt)\b"
-)
-_LATIN_FILLER = re.compile(r"^(?:lor|ips|dol|ame|cons|temp|veli|fugi|nost|adip|elit|eius|inci|labo|magn|aliq|quis|mini|exce|sint|occa|cupi|sunt|culp|dese|moll|anim|etdo)")
+_OPENING = re.compile(r"[{\[<@_%#]|\b(?i:undefined|nan|null)\b")
 _QUOTE_BEFORE = "“\"«‘'„`「"
 _QUOTE_AFTER = "”\"»’'“`」"
 _WORD = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"[;{}]\s*$|//|\*\*|\b(?:def|return|import|function|var|const|let|printf?|console)\b.*[(=]|\w\[\w\]|==|!=|\+=|=>|->")
+KNOWN_WORDS = 100_000  # words a worker remembers the fingerprint sums of
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for x in _SPLIT.split(text) if x and (s := x.strip())]
+
+
+def lines_of(text: str) -> list[str]:
+    """Lines in compatibility form, single blanks; empty ones stand for breaks."""
+    return [" ".join(x.split()) for x in _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).split("\n")]
 
 
 def units(text: str) -> list[str]:
-    """Sentences and lines of a text; lines broken inside a sentence are joined."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    out: list[str] = []
-    held = ""
-    for line in text.split("\n"):
-        line = " ".join(line.split())
-        if not line:
-            if held:
-                out.append(held)
-            held = ""
+    """Sentences of a text; lines broken inside a sentence are joined."""
+    return _joined(lines_of(text))
+
+
+def _joined(lines: list[str]) -> list[str]:
+    out: list[list[str]] = []
+    held: list[str] = []
+    size = 0
+    for line in lines:
+        if line and held and not _END.search(held[-1]) and (line[0].islower() or not line[0].isalpha() or size > 45):
+            held.append(line)
+            size += len(line) + 1
             continue
-        if held and not _END.search(held) and (line[0].islower() or not line[0].isalpha() or len(held) > 45):
-            held = f"{held} {line}"
-        else:
-            if held:
-                out.append(held)
-            held = line
+        if held:
+            out.append(held)
+        held, size = ([line], len(line)) if line else ([], 0)
     if held:
         out.append(held)
-    return [s for u in out for x in _SPLIT.split(u) if x and (s := x.strip())]
+    return [s for u in out for s in _sentences(" ".join(u))]
+
+
+def spread_units(lines: list[str]) -> Iterator[str]:
+    """All units that may be residue as a whole: sentences, and the sentences of
+    single lines and of two lines, as residue starts and ends at a line's edge."""
+    yield from _joined(lines)
+    for a, b in itertools.zip_longest(lines, lines[1:], fillvalue=""):
+        if not a:
+            continue
+        yield from _sentences(a)
+        if b and not _END.search(a):
+            yield _sentences(f"{a} {b}")[0]
 
 
 def _quoted(unit: str, start: int, end: int) -> bool:
@@ -118,123 +131,168 @@ def _quoted(unit: str, start: int, end: int) -> bool:
     return bool(before and after and before[-1] in _QUOTE_BEFORE and after[0] in _QUOTE_AFTER)
 
 
-def judge_unit(unit: str) -> tuple[int, bool]:
-    """Label of a unit (1 residue, -1 known to be none, 0 unknown) and whether
-    the residue is the whole of it, so that the label may spread."""
+def unfilled(unit: str) -> bool:
+    """Whether a placeholder stands in the unit that is neither quoted nor code."""
+    if not _OPENING.search(unit):
+        return False
     found = False
-    for m in PLACEHOLDER.finditer(unit) if _OPENING.search(unit) else ():
+    for m in PLACEHOLDER.finditer(unit):
         if _quoted(unit, m.start(), m.end()):
-            return -1, False
+            return False
         found = True
-    if found:
-        if _CODE.search(PLACEHOLDER.sub("", unit)):
-            return -1, False
-        return 1, False
-    low = fold(unit)
-    words = _WORD.findall(low)
-    hit = _HINT.search(low) and (FILLER.search(low) or ERROR.search(low) or SCRIPTS.search(low))
-    if hit:
-        if len(words) > 8 and (REPORTED.search(low) or _quoted(low, hit.start(), hit.end())):
-            return -1, False
-        # words beside repeated filler are no residue: they must not spread it
-        beside = re.sub(REPEATED, " ", low)
-        return 1, beside == low or not _WORD.search(beside)
-    if len(words) >= 5:
-        latin = sum(bool(_LATIN_FILLER.match(w)) for w in words)
-        if latin >= 0.7 * len(words) and len(set(words)) < len(words):
-            return 1, True
-    return 0, False
-
-
-def unit_key(unit: str) -> str:
-    """Letters and digits of the folded unit, all digits alike."""
-    return re.sub(r"\d", "0", "".join(_WORD.findall(fold(unit))))
+    return found and not _CODE.search(PLACEHOLDER.sub("", unit))
+
+
+class Words:
+    """Folded forms and fingerprint sums of words, remembered by the worker."""
+
+    def __init__(self) -> None:
+        self.folded: dict[str, str] = {}
+        self.number: dict[str, int] = {}
+        self.sums = np.zeros((1024, 64), dtype=np.int16)
+
+    def fold(self, word: str) -> str:
+        got = self.folded.get(word)
+        if got is None:
+            if len(self.folded) >= KNOWN_WORDS:
+                self.folded.clear()
+            got = self.folded[word] = re.sub(r"\d+", "0", fold(word))
+        return got
+
+    def forget(self) -> None:
+        """Start anew once too many words are known; never while ids are in use."""
+        if len(self.number) >= KNOWN_WORDS:
+            self.number.clear()
+
+    def id(self, word: str) -> int:
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.number)
+            if n >= len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.sums[n] = signs(gram_hashes(codes_of(f"^{word}$"), SHINGLE)).sum(axis=0, dtype=np.int16)
+        return n
+
+    def fingerprints(self, sets: list[list[str]]) -> np.ndarray:
+        """64-bit fingerprints of sets of words, none of them empty."""
+        if not sets:
+            return np.zeros(0, dtype=np.int64)
+        self.forget()
+        out = []
+        for a in range(0, len(sets), 4096):
+            part = sets[a : a + 4096]
+            ids = [self.id(w) for s in part for w in s]
+            first = np.concatenate(([0], np.cumsum([len(s) for s in part])[:-1]))
+            out.append(pack(np.add.reduceat(self.sums[ids].astype(np.int32), first, axis=0)))
+        return np.concatenate(out).view(np.int64)
+
+    def of(self, unit: str) -> list[str]:
+        return sorted({self.fold(w) for w in _WORD.findall(unit)} - {""})
 
 
 def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``doc_id, words, fingerprint, label`` of the distinct units of documents:
+    label 1 for placeholders (no words) and units of filler words."""
+    known = Words()
     for docs in batches:
-        rows: dict[tuple, None] = {}
-        for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            for u in units(text):
-                label, whole = judge_unit(u)
-                key = unit_key(u)
-                if not key and label <= 0:
-                    continue
-                rows[(int(doc), key, label, whole)] = None
-        yield pd.DataFrame(list(rows), columns=["doc_id", "key", "label", "whole"])
+        ids, sets, labels, unset = [], [], [], []
+        for doc, text in zip(docs["doc_id"].tolist(), docs["text"], strict=True):
+            lines = lines_of(text)
+            if _OPENING.search(text) and any(map(unfilled, _joined(lines))):
+                unset.append(doc)
+            seen: set[str] = set()
+            for u in spread_units(lines):
+                all_ = _WORD.findall(u)
+                words = sorted({known.fold(w) for w in all_} - {""})
+                key = " ".join(words)
+                if key and key not in seen:
+                    seen.add(key)
+                    ids.append(doc)
+                    sets.append(words)
+                    labels.append(int(len(all_) >= 3 and words != ["0"] and FILLER.issuperset(words)))
+        out = pd.DataFrame({"doc_id": ids, "words": [" ".join(s) for s in sets], "fingerprint": known.fingerprints(sets), "label": labels})
+        yield pd.concat([out, pd.DataFrame({"doc_id": unset, "words": "", "fingerprint": 0, "label": 1})], ignore_index=True)
+
+
+def shingles(words: str) -> set[str]:
+    """Shingles inside the padded words of a unit given as its words."""
+    return {w[i : i + SHINGLE] for w in (f"^{x}$" for x in words.split(" ")) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
-def shingles(key: str) -> set[str]:
-    return {key[i : i + SHINGLE] for i in range(max(1, len(key) - SHINGLE + 1))}
+@F.pandas_udf(T.DoubleType())
+def _shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict[str, set[str]] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        own, other = (known.get(k) or known.setdefault(k, shingles(k)) for k in (x, y))
+        both = len(own & other)
+        out.append(both / (len(own) + len(other) - both))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+    return pd.Series(out, dtype="float64")
 
 
-def prefix(grams: set[str], counts: dict[str, int]) -> list[int]:
-    """Hashes of the rarest shingles, so many that any two sets of similarity
-    ``SIMILARITY`` share one: all orders do that, an order by rarity with few others."""
-    n = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
-    rarest = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:n]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) - 2**31 for g in rarest]
+_MASKS = np.array([sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in itertools.combinations(range(16), k)], dtype=np.int64)
 
 
-def _prefixed(keys: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """``key`` with the size of its shingle set and the hashes of its prefix."""
+def probes(fingerprints: DataFrame) -> DataFrame:
+    """``of_fingerprint, block, value``: for each of the four blocks of a
+    fingerprint all values within ``FLIPS`` bits of its own."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingles(k) for k in pdf["key"]]
-            yield pd.DataFrame({"key": pdf["key"], "size": [len(g) for g in sets], "grams": [prefix(g, counts) for g in sets]})
+            for a in range(0, len(pdf), 64):
+                fp = pdf["of_fingerprint"].to_numpy(np.int64)[a : a + 64]
+                value = (fp.view(np.uint64)[:, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64))) & np.uint64(0xFFFF)
+                all_ = value.astype(np.int64)[:, :, None] ^ _MASKS
+                n, _, m = all_.shape
+                yield pd.DataFrame({"of_fingerprint": np.repeat(fp, 4 * m), "block": np.tile(np.repeat(np.arange(4), m), n), "value": all_.ravel()})
 
-    return keys.select("key").mapInPandas(add, "key string, size int, grams array<int>")
+    return fingerprints.mapInPandas(flip, "of_fingerprint bigint, block int, value int")
 
 
-@F.pandas_udf(T.DoubleType())
-def _shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[str, set[str]] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        own = shingles(x)
-        other = known.get(y)
-        if other is None:
-            other = known[y] = shingles(y)
-        both = len(own & other)
-        out.append(both / (len(own) + len(other) - both))
-    return pd.Series(out, dtype="float64")
+def within_radius(tables: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """``fingerprint, of_fingerprint`` of all pairs at most ``RADIUS`` bits apart;
+    ``tables`` has ``fingerprint, block, value`` of all, four rows each."""
+    of = broadcast_if_small(probes(fingerprints.withColumnRenamed("fingerprint", "of_fingerprint")), 400_000)
+    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_fingerprint"))) <= RADIUS
+    return tables.join(of, ["block", "value"]).where(near).select("fingerprint", "of_fingerprint").distinct()
+
+
+def block_tables(fingerprints: DataFrame) -> DataFrame:
+    blocks = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fingerprint", 16 * b).bitwiseAND(0xFFFF).cast("int").alias("value")) for b in range(4)]
+    return fingerprints.select("fingerprint", F.explode(F.array(*blocks)).alias("t")).select("fingerprint", "t.block", "t.value")
 
 
-def near_duplicates(open_units: DataFrame, frontier: DataFrame) -> DataFrame:
-    """``key, of_key``: every open unit and frontier unit of at least ``SIMILARITY``."""
-    of = frontier.select(F.col("key").alias("of_key"), F.col("size").alias("of_size"), F.explode("grams").alias("gram"))
-    smaller, larger = F.least("size", "of_size"), F.greatest("size", "of_size")
-    return (
-        open_units.select("key", "size", F.explode("grams").alias("gram"))
-        .join(broadcast_if_small(of), "gram")
-        .where(smaller >= F.lit(SIMILARITY) * larger - F.lit(1e-9))
-        .select("key", "of_key").distinct()
-        .where(_shingle_similarity("key", "of_key") >= SIMILARITY)
-    )
+def near_duplicates(found: DataFrame, tables: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``words, fingerprint`` of the units linked to a unit of ``frontier``."""
+    pairs = within_radius(tables, frontier.select("fingerprint").distinct())
+    of = frontier.select(F.col("words").alias("of_words"), F.col("fingerprint").alias("of_fingerprint"))
+    some = pairs.join(broadcast_if_small(of), "of_fingerprint")
+    hit = found.select("words", "fingerprint").join(broadcast_if_small(cut(some)), "fingerprint").distinct()
+    return hit.where(_shingle_similarity("words", "of_words") >= SIMILARITY).select("words", "fingerprint").distinct()
 
 
 def labelled_units(documents: DataFrame) -> DataFrame:
-    """``doc_id, key`` of the units that are residue, own or spread labels."""
-    found = cut(
-        documents.where("doc_id is not null and trim(text) <> ''")
-        .select("doc_id", "text")
-        .mapInPandas(_units_of, "doc_id bigint, key string, label int, whole boolean")
-    )
-    direct = found.where("label = 1").select("doc_id", "key")
-    readings = found.groupBy("key").agg(F.min("label").alias("least"), F.max(F.when(F.col("whole"), F.col("label")).otherwise(0)).alias("seed"))
-    counts = Counter(g for r in found.select("key").limit(SAMPLE).toLocalIterator() for g in shingles(r["key"]))
-    # digits are all alike in a key: one of digits alone has no wording to be near to
-    open_units = cut(_prefixed(readings.where("seed = 0 and least = 0 and key rlike '[^0]'"), counts))
-    frontier = cut(_prefixed(readings.where("seed = 1 and key <> ''"), counts))
-    spread = frontier.select("key").limit(0)
+    """``doc_id, words`` of the units that are residue by themselves or linked to it."""
+    spark = documents.sparkSession
+    texts = documents.where("doc_id is not null and trim(text) <> ''").select("doc_id", "text")
+    found = cut(texts.mapInPandas(_units_of, "doc_id bigint, words string, fingerprint bigint, label int"))
+    open_ = found.where("label = 0")
+    tables = block_tables(cut(open_.select("fingerprint").distinct()))
+    known = Words()
+    sets = [known.of(s) for s in SEEDS]
+    trusted = spark.createDataFrame([(" ".join(s), int(f)) for s, f in zip(sets, known.fingerprints(sets), strict=True)], "words string, fingerprint bigint")
+    own = found.where("label = 1 and words <> ''").select("words", "fingerprint").distinct()
+    frontier = cut(trusted.unionByName(own))
+    reached = frontier
     while not frontier.isEmpty():
-        near = near_duplicates(open_units, frontier).select("key").distinct()
-        fresh = cut(open_units.join(near.join(spread, "key", "left_anti"), "key", "left_semi"))
-        spread = cut(spread.unionByName(fresh.select("key")))
-        frontier = fresh
-    gained = found.where("label = 0").join(spread, "key", "left_semi").select("doc_id", "key")
-    return direct.unionByName(gained)
+        frontier = cut(near_duplicates(open_, tables, frontier).join(reached.select("words"), "words", "left_anti"))
+        # the trusted texts may stand in documents themselves
+        reached = reached.unionByName(frontier)
+    linked = reached.select("words").distinct()
+    gained = open_.select("doc_id", "words").join(broadcast_if_small(linked), "words", "left_semi")
+    return found.where("label = 1").select("doc_id", "words").unionByName(gained)
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

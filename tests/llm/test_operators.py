@@ -378,48 +378,75 @@ def test_blocks_find_all_within_the_radius():
 
 
 @pytest.mark.parametrize(
-    ("t", "label"),
+    ("t", "unset"),
     [
-        ("Hello {{ name }}, welcome", 1), ("Obra: [TITULO] / ${autor}", 1), ("Please enable JavaScript to read this book.", 1), ("Erro 404: a página não foi encontrada", 1), ("xxxxx xxxxx xxxxx", 1),
-        ("Your text goes here.", 1), ("Lorem ipsum dolor sit amet, consectetur", 1), ("The manual explains that the field “{{titulo}}” is replaced by the name.", -1),
-        ("Older readers, says Ann, asked people to enable JavaScript, and the essay discusses why that drove them away.", -1), ("x = y_1 ** 2 // (a[i] - b[j]);", 0), ("The old house stands [3].", 0), ("", 0),
+        ("Hello {{ name }}, welcome", True), ("Obra: [TITULO] / ${autor}", True), ("by undefined on null", True), ("by [object Object]", True), ("null and void", False),
+        ("The manual explains that the field “{{titulo}}” is replaced by the name.", False), ("x = y_1 ** 2 // (a[i] - b[j]);", False), ("The old house stands [3].", False), ("", False),
     ],
 )
-def test_unit_labels(t, label):
-    assert residue.judge_unit(t)[0] == label
+def test_placeholders(t, unset):
+    assert residue.unfilled(t) == unset
+
+
+RESIDUE = [
+    (1, "A story of the sea.\nPlease enable JavaScript to read this book.\nThe end."), (2, "A story of the sea."), (3, None), (4, " "), (5, "A {{title}} of the sea."),
+    (6, "Plese enable JavaScript to read this book."), (7, "Proofreader Ann recalls the day everyone saw “error 404” on the library door and laughed."), (8, "pad. " * 9000 + "Internal server error (500)."),
+]
 
 
 def test_residue_documents(spark):
-    rows = [
-        (1, "A story of the sea.\nPlease enable JavaScript to read this book.\nThe end."), (2, "A story of the sea."), (3, None), (4, " "), (5, "A {{title}} of the sea."),
-        (6, "Plese enable JavaScript to read this book."), (7, "Proofreader Ann recalls the day everyone saw “error 404” on the library door and laughed."), (8, "pad. " * 9000 + "Internal server error (500)."),
-    ]
-    d = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").withColumn("key", F.lit("clash"))
+    d = spark.createDataFrame(RESIDUE + RESIDUE[:2], "doc_id long, text string").withColumn("words", F.lit("clash"))
     assert keys(residue.residue_documents(d), "doc_id") == [(1,), (5,), (6,), (8,)]
     assert residue.without_residue(d).count() == 5
     assert residue.residue_documents(d.limit(0)).count() == 0
 
 
-def test_near_duplicates_against_brute_force(spark):
-    rng = random.Random(11)
-    seeds = [words(rng, rng.randint(1, 12)).replace(" ", "") for _ in range(60)] + ["abcd", "abcdabcd"]
-    others = []
-    for k in seeds:
-        for _ in range(6):
-            i = rng.randrange(len(k))
-            others.append(k[:i] + words(rng, 1) + k[i + rng.randint(0, 6) :])
-    others = sorted(set(others + ["abcdab", "abc", "x"]) - set(seeds))
-    counts = {g: rng.randint(0, 9) for k in others[::3] for g in residue.shingles(k)}
-    frame = lambda keys_: residue._prefixed(spark.createDataFrame([(k,) for k in keys_], "key string"), counts)
-    similar = lambda a, b: len(a & b) / len(a | b) >= residue.SIMILARITY
-    want = sorted((a, b) for a in others for b in seeds if similar(residue.shingles(a), residue.shingles(b)))
-    assert len(want) > 60
-    assert keys(residue.near_duplicates(frame(others), frame(seeds)), "key", "of_key") == want
-
-
-def test_residue_with_one_word_changed(spark):
-    whole = "Your browser does not allow this page to run, so please enable JavaScript and then reload the whole of the page to go on reading this book."
-    near = whole.replace("enable JavaScript", "enable JavaScrapt")
-    d = spark.createDataFrame([(1, whole), (2, near), (3, "The year was\n1984"), (5, "The lost ledger of the harbour at night xxxxx xxxxx xxxxx"), (6, "The lost ledger of the harbour at night")], "doc_id long, text string")
-    assert residue.judge_unit(near)[0] == 0
-    assert keys(residue.residue_documents(d), "doc_id") == [(1,), (2,), (5,)]
+def test_residue_comes_by_fingerprints(spark, monkeypatch):
+    d = spark.createDataFrame(RESIDUE, "doc_id long, text string")
+    monkeypatch.setattr(residue, "near_duplicates", lambda found, tables, frontier: frontier.select("words", "fingerprint").limit(0))
+    monkeypatch.setattr(residue, "SEEDS", ("no such text",))
+    assert keys(residue.residue_documents(d), "doc_id") == [(5,)]  # without links only the placeholder is left
+
+
+def test_residue_wordings(spark):
+    yes = ["Erro 404: a página não foi encontrada", "xxxxx xxxxx xxxxx", "Your text goes here.", "Lorem ipsum dolor sit amet, consectetur", "ESTE LECTOR NECESITA LOS SCRIPTS\nHABILITADOS EN EL NAVEGADOR.", "Too mány requests"]
+    no = ["Older readers, says Ann, asked people to enable JavaScript, and the essay discusses why that drove them away.", "The year was\n1984", "The lost ledger of the harbour at night", "1 2 3"]
+    d = spark.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    assert keys(residue.residue_documents(d), "doc_id") == [(i,) for i in range(len(yes))]
+
+
+def test_residue_spreads_from_unit_to_unit(spark, monkeypatch):
+    w = words(random.Random(2), 30).split()
+    chain = [" ".join(w[:k] + [x[::-1] + "q" for x in w[k:]]) for k in (30, 28, 26, 24)]  # each is near to the next only
+    d = spark.createDataFrame([*enumerate(chain), (9, " ".join(w[::-1][:9])), (10, f"Prose before it.\n{chain[3]}")], "doc_id long, text string")
+    near = lambda a, b: len(residue.shingles(a) & residue.shingles(b)) / len(residue.shingles(a) | residue.shingles(b))
+    assert near(chain[0], chain[1]) >= residue.SIMILARITY > near(chain[0], chain[3])
+    monkeypatch.setattr(residue, "SEEDS", (chain[0],))
+    assert keys(residue.residue_documents(d), "doc_id") == [(0,), (1,), (2,), (3,), (10,)]
+
+
+def test_fingerprint_tables_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(-(2**63), 2**63, 20, dtype=np.int64)
+    near = [int(np.int64(s)) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for s in seeds for k in (0, 1, 8, 14, 15, 16, 17)]
+    frame = lambda values: spark.createDataFrame([(int(v),) for v in values], "fingerprint long")
+    got = keys(residue.within_radius(residue.block_tables(frame(near)), frame(seeds)), "fingerprint", "of_fingerprint")
+    want = sorted({(a, int(b)) for a in near for b in seeds if bin((a ^ int(b)) & (2**64 - 1)).count("1") <= residue.RADIUS})
+    assert got == want and len(want) >= 20 * 5
+
+
+def test_radius_covers_the_similarity():
+    rng, known = random.Random(6), residue.Words()
+    near = seen = 0
+    while near < 400:
+        a = words(rng, rng.randint(3, 12)).split()
+        b = list(a)
+        b[rng.randrange(len(b))] = words(rng, 1)
+        a, b = sorted(set(a)), sorted(set(b))
+        x, y = residue.shingles(" ".join(a)), residue.shingles(" ".join(b))
+        if len(x & y) < residue.SIMILARITY * len(x | y):
+            continue
+        f = known.fingerprints([a, b])
+        near += 1
+        seen += bin(int(f[0] ^ f[1]) & (2**64 - 1)).count("1") <= residue.RADIUS
+    assert seen >= 0.95 * near
