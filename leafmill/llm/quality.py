@@ -1,8 +1,10 @@
 """Problem 4: statistics of every element's text and what kind of text it is.
 
-Besides the usual ratios there are repetition statistics (duplicate lines and
-paragraphs, how much of the text its dominant word n-grams cover); combined
-rules then tell prose from lists, tables, indexes, contents and junk.
+Counts and shares of characters, marks, lines and list signs are built-in
+expressions.  What needs the words in order runs in Arrow batches: repetition
+(duplicate lines and paragraphs, how much of the text its dominant word n-grams
+cover), common words and odd words.  Combined rules then tell prose from lists,
+tables, indexes, contents, boilerplate and junk.
 """
 
 from __future__ import annotations
@@ -15,26 +17,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import WS
+
 MAX_COMMON = 100_000  # rows of common_words that may travel with a task
 
-MEASURES = (
-    "words int, mean_word_length double, symbol_share double, end_mark_share double, common_share double, "
-    "digit_share double, duplicate_line_share double, duplicate_paragraph_share double, top_word_share double, "
-    "top_bigram_coverage double, top_trigram_coverage double, repeated_5gram_coverage double, verdict string"
+#: What is measured on the words, in Python.
+WORD_MEASURES = (
+    "words int, letters_in_words int, top_char_share double, common_share double, duplicate_line_share double, duplicate_paragraph_share double, "
+    "top_word_share double, top_bigram_coverage double, top_trigram_coverage double, repeated_5gram_coverage double, numbers int, mixed int, odd_share double"
 )
+STATISTICS = [
+    "words", "mean_word_length", "symbol_share", "end_mark_share", "common_share", "digit_share", "duplicate_line_share", "duplicate_paragraph_share",
+    "top_word_share", "top_bigram_coverage", "top_trigram_coverage", "repeated_5gram_coverage",
+]
 
 _CHAR = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0963\u0970-\u097f\u064b-\u065f])"
 _WORD = re.compile(rf"{_CHAR}+(?:[-'’·‐]{_CHAR}+)*")
-_TOKEN = re.compile(r"\S+")
 _EASTERN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
-_MARK_END = re.compile(r"[.!?…。！？।॥؟;:،,;·]['\"”’»)\]」』]*\s*$")
-_SENTENCE_END = re.compile(r"(?:[.!?…。！？।॥؟]|(?<=[α-ωά-ώ]);)['\"”’»)\]」』]*(?=\s|$)|[。！？]")
-_LEADER = re.compile(r"(?:[.·…_‥]\s?){4,}\s*\d{1,4}|(?:[.·…_]\s?){6,}")
-_ITEM = re.compile(r"(?:(?<=\s)|^)(?:\d{1,3}[.)]|[-*•–])\s+(?=\S)")
-_SEPARATOR = re.compile(r"[,;|/\t•·\n]|\s{2,}|\s-\s")
 _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûãõäëïöüæœåø]", re.I)
 _MIXED = re.compile(r"(?=\w*\d)(?=\w*[^\W\d_])\w{3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-–]*[\W_]*$")
+_DIGIT = re.compile(r"\d")
+
+# Patterns of the built-in expressions.
+LETTER = r"\p{L}\x{900}-\x{97f}\x{64b}-\x{65f}"
+CLOSING = r"['\"”’»)\]」』]*"
+MARK_END = rf"[.!?…。！？।॥؟;:،,;·]{CLOSING}[{WS}]*$"
+SENTENCE_END = rf"(?:[.!?…。！？।॥؟]|(?<=[α-ωά-ώ]);){CLOSING}(?=[{WS}]|$)|[。！？]"
+LEADER = rf"(?:[.·…_‥][{WS}]?){{4,}}[{WS}]*[0-9]{{1,4}}|(?:[.·…_][{WS}]?){{6,}}"
+ITEM = rf"(?:(?<=[{WS}])|^)(?:[0-9]{{1,3}}[.)]|[-*•–])[{WS}]+(?=[^{WS}])"
+SEPARATOR = rf"[,;|/\t•·\n]|[{WS}]{{2,}}|[{WS}]-[{WS}]"
 
 
 def common_by_language(common_words: DataFrame) -> dict[str, frozenset[str]]:
@@ -53,12 +65,17 @@ def _coverage(words: list[str], n: int) -> float:
     grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
     if not grams:
         return 0.0
-    gram, k = grams.most_common(1)[0]
-    return min(1.0, k * sum(map(len, gram)) / max(1, sum(map(len, words)))) if k > 1 else 0.0
+    k = max(grams.values())
+    if k == 1:
+        return 0.0
+    longest = max(sum(map(len, g)) for g, c in grams.items() if c == k)
+    return min(1.0, k * longest / max(1, sum(map(len, words))))
 
 
 def _repeated(words: list[str], n: int) -> float:
     """Share of the words that stand in an n-gram seen before."""
+    if len(set(zip(*(words[i:] for i in range(n)), strict=False))) == max(0, len(words) - n + 1):
+        return 0.0
     seen: set[tuple] = set()
     covered, upto = 0, 0
     for i in range(len(words) - n + 1):
@@ -89,95 +106,117 @@ def common_share(words: list[str], text: str, commons: dict[str, frozenset[str]]
         return min(1.0, best), lang
     if not words:
         return 0.0, ""
+    counts = Counter(words)
     for k, known in commons.items():
-        share = sum(w in known for w in words) / len(words)
+        share = sum(counts[w] for w in known.intersection(counts)) / len(words)
         if share > best:
             best, lang = share, k
     return best, lang
 
 
-def measure(text: str, commons: dict[str, frozenset[str]], kind: str | None = "paragraph") -> tuple:
-    """All statistics of one text and its verdict: prose, list, table, index,
-    contents, junk or blank."""
-    words = _WORD.findall(text.lower())
-    tokens = _TOKEN.findall(text)
-    solid = "".join(tokens)
-    n_solid = max(1, len(solid))
-    letters = sum(c.isalpha() or "ऀ" <= c <= "ॿ" or "ً" <= c <= "ٟ" for c in solid)
-    digits = sum(c.isdigit() for c in solid)
-    symbols = n_solid - letters - digits if solid else 0
+def measure(text: str, commons: dict[str, frozenset[str]]) -> tuple:
+    """``WORD_MEASURES`` of one text."""
+    low = text.lower()
+    words = _WORD.findall(low)
+    n = len(words)
+    tokens = text.split()
+    chars = Counter(low.translate(_BLANKS))
+    solid = sum(chars.values())
     lines = [x for x in text.split("\n") if x.strip()]
-    end_marks = sum(bool(_MARK_END.search(x)) for x in lines) / len(lines) if lines else 0.0
-    common, _ = common_share(words, text, commons)
+    numbers = mixed = 0
+    if _DIGIT.search(text):
+        with_digit = [t for t in tokens if _DIGIT.search(t)]
+        numbers = sum(bool(_NUMBER.match(t)) for t in with_digit)
+        mixed = sum(bool(_MIXED.fullmatch(t.strip(".,;:!?()"))) for t in with_digit)
+    latin = [w for w in words if w.isascii() and len(w) >= 4]
+    odd = sum(not _VOWEL.search(w) for w in latin) / len(latin) if len(latin) >= 5 else 0.0
     counts = Counter(words)
-    top = counts.most_common(1)[0][1] / len(words) if words else 0.0
-    eastern = len(_EASTERN.findall(text)) > 0.3 * n_solid
-    numbers = sum(bool(_NUMBER.match(t)) for t in tokens)
-    mixed = sum(bool(_MIXED.fullmatch(t.strip(".,;:!?()"))) for t in tokens)
-    stats = (
-        len(words),
-        sum(map(len, words)) / len(words) if words else 0.0,
-        symbols / n_solid,
-        end_marks,
-        common,
-        digits / n_solid,
-        _duplicates(lines),
-        _duplicates(text.split("\n\n")),
-        top,
-        _coverage(words, 2),
-        _coverage(words, 3),
-        _repeated(words, 5),
+    return (
+        n,
+        sum(map(len, words)),
+        max(chars.values()) / solid if solid else 0.0,
+        common_share(words, text, commons)[0],
+        _duplicates(lines) if len(lines) > 1 else 0.0,
+        _duplicates(text.split("\n\n")) if "\n\n" in text else 0.0,
+        max(counts.values()) / n if n else 0.0,
+        _coverage(words, 2) if len(counts) < n else 0.0,
+        _coverage(words, 3) if len(counts) < n else 0.0,
+        _repeated(words, 5) if len(counts) < n else 0.0,
+        numbers,
+        mixed,
+        odd,
+    )
+
+
+_BLANKS = {c: None for c in range(0x3001) if chr(c).isspace()}
+
+
+def character_measures(t: Column) -> dict[str, Column]:
+    """Counts on the characters of a text, as built-in expressions."""
+    solid = F.regexp_replace(t, rf"[{WS}]+", "")
+    without = lambda keep: F.length(F.regexp_replace(t, rf"[^{keep}]+", ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^{WS}]"))
+    tokens = F.filter(F.split(t, rf"[{WS}]+"), lambda x: x != "")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    return {
+        "tokens": F.size(tokens),
+        "longest": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
+        "solid": F.greatest(F.lit(1), F.length(solid)),
+        "letters": without(LETTER),
+        "digits": without(r"\p{Nd}²³¹"),
+        "eastern": without(r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"),
+        "end_mark_share": F.coalesce(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(MARK_END))), F.size(lines)), F.lit(0.0)),
+        "leaders": count(LEADER),
+        "ends": count(SENTENCE_END),
+        "items": count(ITEM),
+        "separators": count(SEPARATOR),
+        "commas": count("[,;]"),
+    }
+
+
+def repetitive() -> Column:
+    """Whether what is repeated outweighs the rest: one word, a phrase, a passage
+    or a line said over and over.  Common words do not make that prose."""
+    n = F.col("words")
+    phrase = F.greatest("top_bigram_coverage", "top_trigram_coverage")
+    passage = (F.col("repeated_5gram_coverage") > 0.5) | (F.col("duplicate_line_share") > 0.5) | (F.col("duplicate_paragraph_share") > 0.5)
+    return ((n >= 5) & (F.col("top_word_share") > 0.5)) | ((n >= 8) & ((phrase > 0.5) | passage))
+
+
+def verdict(t: Column) -> Column:
+    """Prose, list, table, index, contents, boilerplate, junk or blank, by
+    combined rules over the measured columns."""
+    c = F.col
+    n, tokens, solid, common, ends = c("words"), c("tokens"), c("solid"), c("common_share"), c("ends")
+    items, separators, numbers, mixed = c("items"), c("separators"), c("numbers"), c("mixed")
+    closed = F.substring(t, -4, 4).rlike(SENTENCE_END)
+    east = F.when((common >= 0.02) | (F.length(t) < 12) | ((ends > 0) & (solid < 40 * ends)), "prose").otherwise(F.when(separators > 0, "list").otherwise("junk"))
+    signs = F.when(c("digits") > 0.25 * solid, "table").otherwise("junk")
+    figures = F.when(c("commas") >= 0.6 * numbers, "index").otherwise("table")
+    prose = (
+        ((common >= 0.08) & (n >= 6) & (ends > 0))
+        | ((ends > 0) & (n >= 2 * ends) & (items <= 1) & (separators <= F.when(closed, 0.55).otherwise(0.25) * n))
+        | ((n < 8) & (ends > 0) & (separators <= 1) & (items <= 1))
+        | ((ends > 0) & (n <= 12 * ends) & (items <= 1) & (separators <= 0.35 * n) & ((common > 0) | (n < 5 * ends)))
+    )
+    return (
+        F.when(tokens == 0, "blank")
+        .when((c("leaders") >= 2) | ((c("leaders") == 1) & t.rlike(rf"[0-9][{WS}]*$")), "contents")
+        .when((solid >= 6) & (c("top_char_share") > 0.6), "junk")
+        .when(repetitive(), F.when(c("top_word_share") > 0.5, "junk").otherwise("boilerplate"))
+        .when(c("eastern") > 0.3 * solid, east)
+        .when(c("letters") < 0.5 * solid, signs)
+        .when((c("longest") >= 40) & (c("longest") > 0.5 * solid) & (tokens < 6) & ~F.substring(t, 1, 8).contains("/"), "junk")
+        .when((common >= 0.15) & (numbers <= 0.4 * tokens), "prose")
+        # hardly any function word: prose only where it is short and closed like a sentence
+        .when((numbers >= 3) & (numbers >= 0.3 * tokens), figures)
+        .when((mixed >= 3) & (mixed > 0.12 * tokens), "junk")
+        .when(c("odd_share") > 0.2, "junk")
+        .when(prose, "prose")
+        .when((items >= 3) | (separators >= 0.3 * n), "list")
+        .when(n < 4, F.when(ends > 0, "prose").otherwise("junk"))
+        .otherwise("list")
     )
-    return (*stats, _verdict(text, words, tokens, letters, digits, n_solid, common, top, eastern, numbers, mixed))
-
-
-def _verdict(text, words, tokens, letters, digits, n_solid, common, top, eastern, numbers, mixed) -> str:
-    if not tokens:
-        return "blank"
-    leaders = len(_LEADER.findall(text))
-    if leaders >= 2 or (leaders and re.search(r"\d\s*$", text)):
-        return "contents"
-    longest = max(map(len, tokens))
-    char, often = Counter("".join(tokens).lower()).most_common(1)[0]
-    if n_solid >= 6 and often > 0.6 * n_solid:
-        return "junk"
-    ends = len(_SENTENCE_END.findall(text))
-    if eastern:
-        if common >= 0.02 or len(text) < 12 or (ends and n_solid < 40 * ends):
-            return "prose"
-        return "list" if _SEPARATOR.search(text) else "junk"
-    if letters < 0.5 * n_solid:
-        return "table" if digits > 0.25 * n_solid else "junk"
-    if longest >= 40 and longest > 0.5 * n_solid and len(tokens) < 6 and "/" not in text[:8]:
-        return "junk"
-    n = len(words)
-    if n >= 5 and top > 0.5:
-        return "junk"
-    items = len(_ITEM.findall(text))
-    separators = len(_SEPARATOR.findall(text))
-    if common >= 0.15 and not (numbers > 0.4 * len(tokens)):
-        return "prose"
-    # hardly any function word: prose only where it is short and closed like a sentence
-    if numbers >= 3 and numbers >= 0.3 * len(tokens):
-        return "index" if text.count(",") + text.count(";") >= numbers * 0.6 else "table"
-    if mixed >= 3 and mixed > 0.12 * len(tokens):
-        return "junk"
-    latin = [w for w in words if w.isascii() and len(w) >= 4]
-    if len(latin) >= 5 and sum(not _VOWEL.search(w) for w in latin) > 0.2 * len(latin):
-        return "junk"
-    if common >= 0.08 and n >= 6 and ends:
-        return "prose"
-    if ends and n >= 2 * ends and items <= 1 and separators <= (0.55 if _SENTENCE_END.search(text[-4:]) else 0.25) * n:
-        return "prose"
-    if n < 8 and ends and separators <= 1 and items <= 1:
-        return "prose"
-    if ends and n / ends <= 12 and items <= 1 and separators <= 0.35 * n and (common > 0 or n < 5 * ends):
-        return "prose"
-    if items >= 3 or separators >= 0.3 * n:
-        return "list"
-    if n < 4:
-        return "prose" if ends else "junk"
-    return "list"
 
 
 def element_text(runs: Column) -> Column:
@@ -196,13 +235,23 @@ def text_statistics(elements: DataFrame, common_words: DataFrame) -> DataFrame:
     commons = common_by_language(common_words)
     one = elements.groupBy("book_id", "el_seq", "kind").agg(F.max(element_text(F.col("runs"))).alias("text"))
 
-    @F.pandas_udf(MEASURES)
+    @F.pandas_udf(WORD_MEASURES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in MEASURES.split(", ")]
+        names = [c.split(" ")[0] for c in WORD_MEASURES.split(", ")]
         for s in texts:
             yield pd.DataFrame([measure(t, commons) for t in s], columns=names)
 
-    return one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*")
+    t = F.col("text")
+    d = one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*").withColumns(character_measures(t))
+    d = d.withColumns(
+        {
+            "mean_word_length": F.coalesce(F.try_divide("letters_in_words", "words"), F.lit(0.0)),
+            "symbol_share": F.when(F.col("tokens") > 0, (F.col("solid") - F.col("letters") - F.col("digits")) / F.col("solid")).otherwise(0.0),
+            "digit_share": F.col("digits") / F.col("solid"),
+            "verdict": verdict(t),
+        }
+    )
+    return d.select("book_id", "el_seq", "kind", "text", *STATISTICS, "verdict")
 
 
 def not_prose(elements: DataFrame, common_words: DataFrame) -> DataFrame:

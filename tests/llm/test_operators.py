@@ -146,21 +146,31 @@ def test_places_leave_garbled_spans_out(spark):
 # 4 ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    ("t", "prose"),
-    [
-        ("The old printing house keeps the register of tides in the back room.", True), ("THE OLD HOUSE IS IN THE TOWN AND IT WAS COLD", True), ("How odd!", True),
-        ("the old\nhouse was in\nthe town and it\nwas cold", True), ("第二版，在灯光下保存着弄脏的书页。", True), ("Лодочник объясняет сноски. Кегль вырос с 3,2 до 5 пункта.", True),
-        ("footnotes faded bridge worn-out register caption every numbering stray", False), ("word word word word word word", False), ("12,3 45.6 78,9 10.1 22,3", False),
-        ("hyphen, 229, 103; story, 250, 299; every, 140", False), ("A chapter . . . . . . . 12\nAnother ________ 45", False), ('">| _ :*" ->/-* ^-;l , !"I I=|1', False),
-        ("aHsJPoiCI98cNmdzTsDJ7AvvBkO6YS3I8I37erPdqJG1AjxTJ1EhDEQ2FVY76Hzk0", False), ("1. stained footnotes 2) translation chart 3) caption initials", False),
-    ],
-)
-def test_verdicts(t, prose):
-    commons = {}
-    for lang, w in COMMON:
-        commons.setdefault(lang, set()).add(w)
-    assert (quality.measure(t, {k: frozenset(v) for k, v in commons.items()})[-1] == "prose") is prose
+VERDICTS = [
+    ("The old printing house keeps the register of tides in the back room.", True), ("THE OLD HOUSE IS IN THE TOWN AND IT WAS COLD", True), ("How odd!", True),
+    ("the old\nhouse was in\nthe town and it\nwas cold", True), ("第二版，在灯光下保存着弄脏的书页。", True), ("Лодочник объясняет сноски. Кегль вырос с 3,2 до 5 пункта.", True),
+    ("footnotes faded bridge worn-out register caption every numbering stray", False), ("word word word word word word", False), ("12,3 45.6 78,9 10.1 22,3", False),
+    ("hyphen, 229, 103; story, 250, 299; every, 140", False), ("A chapter . . . . . . . 12\nAnother ________ 45", False), ('">| _ :*" ->/-* ^-;l , !"I I=|1', False),
+    ("aHsJPoiCI98cNmdzTsDJ7AvvBkO6YS3I8I37erPdqJG1AjxTJ1EhDEQ2FVY76Hzk0", False), ("1. stained footnotes 2) translation chart 3) caption initials", False),
+    ("the cat sat on the mat " * 6, False), ("All rights of this book are reserved by the house.\n" * 5 + "It was the end.", False),
+]
+
+
+def elements_of(spark, texts):
+    run = "array<struct<text:string,bold:boolean,italic:boolean>>"
+    return spark.createDataFrame([("b", i, "paragraph", [(t, False, False)]) for i, t in enumerate(texts)], f"book_id string, el_seq int, kind string, runs {run}")
+
+
+def test_verdicts(spark, common):
+    got = keys(quality.not_prose(elements_of(spark, [t for t, _ in VERDICTS]), common), "el_seq")
+    assert [i for (i,) in got] == [i for i, (_, prose) in enumerate(VERDICTS) if not prose]
+
+
+def test_repetition_decides(spark, common, monkeypatch):
+    repeated = [t for t, prose in VERDICTS[-2:]]
+    assert quality.not_prose(elements_of(spark, repeated), common).count() == 2
+    monkeypatch.setattr(quality, "repetitive", lambda: F.lit(False))  # without its statistics both pass for prose
+    assert quality.not_prose(elements_of(spark, repeated), common).count() == 0
 
 
 def test_statistics_of_odd_elements(spark, common):
