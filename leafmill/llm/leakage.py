@@ -1,22 +1,22 @@
 """Problem 8: evaluation passages inside corpus documents.
 
-Both sides become streams of folded letters and digits.  Windows of the size
-of a passage's unchanged part are fingerprinted with SimHash at every word
-start; four 16-bit blocks find every item window within 3 bits of a document
-window, and shorter seeds are found exactly.  The pairs found are aligned word by word; a run of the aligned words
-with at most one of any ten changed is a passage, whichever words are changed.
-No similarity of shingles is asked of it besides: unchanged words are equal
-letter by letter, and two changed words ten apart may halve that similarity.
-
-Twelve running words with at most one of any ten changed always keep five
-running words unchanged, so the window (24 letters) is chosen to fit into
-those; the whole item or a window of twelve words would not survive a change
-within a radius that blocks of useful size can guarantee.
+Both sides become folded words.  Item-sized windows are fingerprinted with
+SimHash: eight words, as every passage of twelve running words with one of any
+ten changed holds a window of eight with at most one changed, and whole items
+where they are shorter.  Five blocks of a fingerprint are met by all values
+within two bits of them, so every item window within 14 bits of a document
+window is found; the weighted similarity of their words verifies such a pair,
+and an alignment word by word tells how far the passage goes.
+
+Only document windows that can pass the verification are fingerprinted: most of
+their words must be words of the items at all.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,19 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.lookalike import _CYRILLIC, _CYRILLIC_AS, _GREEK, _GREEK_AS
-from leafmill.llm.simhash import codes_of, gram_hashes, window_fingerprints
-
-WINDOW = 24  # letters of a fingerprint window
-SEED = 14  # letters that are found exactly: five unchanged words may be shorter than a window
-GRAM = 5
-RADIUS = 3
+from leafmill.llm.simhash import codes_of, gram_hashes, pack, signs
+
+WINDOW = 8  # words of a window; shorter items are windows as a whole
+GRAM = 3  # letters of a shingle inside the padded words
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits of each block
+FLIPS = 2
+RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
+SHARED = 0.75  # share of a window's words that must be words of the item window
 MIN_WORDS = 12
 SPAN = 10  # of so many running words one may differ
 SLACK = 30  # letters a changed word may have
-BLOCK_ITEMS = 5_000  # items searched for in one pass over the corpus
+BLOCK_ITEMS = 500  # items searched for in one pass over the corpus
+KNOWN_WORDS = 200_000  # words a worker remembers the vectors of
 
 _TWINS = str.maketrans(_CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS)
 _INVISIBLE = re.compile("[­͏​-‏⁠-⁤﻿]")
@@ -44,88 +48,104 @@ _WORD = re.compile(r"[^\W_]+")
 _HYPHEN_BREAK = re.compile(r"[-‐‑]\s*\n\s*[>|*]?\s*(?=\w)")
 
 
-def stream(text: str) -> tuple[str, np.ndarray]:
-    """Folded letters and digits of a text, and where its words start."""
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points in ascending order."""
+    groups = itertools.groupby(enumerate(codes), lambda x: x[1] - x[0])
+    spans = [[c for _, c in g] for _, g in groups]
+    return "".join(f"\\U{g[0]:08x}-\\U{g[-1]:08x}" for g in spans)
+
+
+_MARKS = re.compile(f"[{_ranges([c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))])}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Folded words: letters and digits without case, accents and look-alikes."""
     text = _INVISIBLE.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_TWINS))
-        text = "".join(c for c in text if not unicodedata.combining(c))
-    text = _HYPHEN_BREAK.sub("", text).lower()
-    words = _WORD.findall(text)
-    if not words:
-        return "", np.zeros(0, dtype=np.int64)
-    starts = np.zeros(len(words), dtype=np.int64)
-    np.cumsum([len(w) for w in words[:-1]], out=starts[1:])
-    return "".join(words), starts
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_TWINS)))
+    return _WORD.findall(_HYPHEN_BREAK.sub("", text).lower())
 
 
-def seeds(s: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``SEED`` letters at the word starts, and these starts."""
-    at = starts[starts <= len(s) - SEED]
-    return (gram_hashes(codes_of(s), SEED)[at] if len(at) else np.zeros(0, dtype=np.uint64)), at
+def starts_of(words: list[str]) -> np.ndarray:
+    """Where each word starts in the letters of all."""
+    return np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)[:-1])) if words else np.zeros(0, dtype=np.int64)
 
 
-class ItemIndex:
-    """Fingerprints of all item windows in four block tables, built where used."""
+class Vectors:
+    """Sign sums of the shingles of words, of equal weight each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.streams, self.starts = [], []
-        fps, owner, place, short = [], [], [], []
-        for k, (_, text) in enumerate(items):
-            s, w = stream(text)
-            self.streams.append(s)
-            self.starts.append(w)
-            short.append((*seeds(s, w), k))
-            if len(s) < WINDOW:
-                continue
-            at = w[w <= len(s) - WINDOW]
-            fps.append(window_fingerprints(codes_of(s), at, WINDOW, GRAM))
-            owner.append(np.full(len(at), k))
-            place.append(at)
-        self.fp = np.concatenate(fps) if fps else np.zeros(0, dtype=np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, dtype=np.int64)
-        self.tables = []
-        for b in range(4):
-            v = ((self.fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            order = np.argsort(v, kind="stable")
-            self.tables.append((order, np.searchsorted(v[order], np.arange(65537))))
-
-        h = np.concatenate([x[0] for x in short]) if short else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.seed = h[order]
-        self.seed_owner = np.concatenate([np.full(len(x[1]), x[2]) for x in short])[order] if short else np.zeros(0, dtype=np.int64)
-        self.seed_place = np.concatenate([x[1] for x in short])[order] if short else np.zeros(0, dtype=np.int64)
-
-    def seed_hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (document seed, item seed) pairs of equal letters."""
-        first = np.searchsorted(self.seed, hashes, "left")
-        n = np.searchsorted(self.seed, hashes, "right") - first
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(np.arange(len(hashes)), n), np.repeat(first, n) + within
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1024, 64), dtype=np.float32)
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self._id(w) for w in words), dtype=np.int64, count=len(words))
+
+    def _id(self, word: str) -> int:
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.number)
+            if n >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            v = signs(gram_hashes(codes_of(f"^{word}$"), GRAM)).sum(axis=0, dtype=np.float32)
+            self.table[n] = v / max(1e-6, float(np.sqrt((v * v).sum())))
+        return n
+
+    def fingerprints(self, windows: np.ndarray) -> np.ndarray:
+        """Fingerprints of windows given as rows of word ids."""
+        parts = [pack(self.table[windows[a : a + 4096]].sum(axis=1)) for a in range(0, len(windows), 4096)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+class Tables:
+    """Block tables of the fingerprints of item windows of one size."""
+
+    def __init__(self, fingerprints: np.ndarray):
+        self.fp = fingerprints
+        self.blocks = []
+        for first, bits in BLOCKS:
+            masks = np.array([sum(1 << b for b in bs) for k in range(FLIPS + 1) for bs in itertools.combinations(range(bits), k)], dtype=np.uint16)
+            values = ((self.fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.uint16)
+            probes = (values[:, None] ^ masks).ravel()
+            order = np.argsort(probes, kind="stable")
+            offset = np.searchsorted(probes[order], np.arange((1 << bits) + 1, dtype=np.int64))
+            self.blocks.append((first, bits, (order // len(masks)).astype(np.int32), offset))
 
     def hits(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (document window, item window) pairs within the radius."""
-        left, right = [], []
-        for b, (order, offset) in enumerate(self.tables):
-            v = ((fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = offset[v + 1] - offset[v]
-            some = np.flatnonzero(n)
-            if not len(some):
-                continue
-            n = n[some]
-            i = np.repeat(some, n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            j = order[np.repeat(offset[v[some]], n) + within]
-            near = np.bitwise_count(fps[i] ^ self.fp[j]) <= RADIUS
-            left.append(i[near])
-            right.append(j[near])
-        if not left:
-            z = np.zeros(0, dtype=np.int64)
-            return z, z
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pairs[0], pairs[1]
+        found = []
+        for a in range(0, len(fps), 1024):
+            part = fps[a : a + 1024]
+            for first, bits, items, offset in self.blocks:
+                v = ((part >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                n = offset[v + 1] - offset[v]
+                i = np.repeat(np.arange(len(part)), n)
+                within = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                j = items[np.repeat(offset[v], n) + within]
+                near = np.flatnonzero(np.bitwise_count(part[i] ^ self.fp[j]) <= RADIUS)
+                found.append((i[near] + a) * len(self.fp) + j[near])
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return both // max(1, len(self.fp)), both % max(1, len(self.fp))
+
+
+class ItemIndex:
+    """All item windows by size, with their fingerprints in block tables."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids = [i for i, _ in items]
+        self.words = [words_of(text) for _, text in items]
+        self.streams, self.starts = ["".join(w) for w in self.words], [starts_of(w) for w in self.words]
+        self.vectors = Vectors()
+        numbers = [self.vectors.ids(w) for w in self.words]
+        self.own = len(self.vectors.number)  # words of the items have the least numbers
+        self.sizes: dict[int, tuple[Tables, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(WINDOW, len(w)) for w in self.words} - {0}):
+            which = [k for k, w in enumerate(self.words) if min(WINDOW, len(w)) == size]
+            windows = [np.lib.stride_tricks.sliding_window_view(numbers[k], size) for k in which]
+            owner = np.repeat(which, [len(x) for x in windows])
+            start = np.concatenate([np.arange(len(x)) for x in windows])
+            all_ = np.concatenate(windows)
+            self.sizes[size] = (Tables(self.vectors.fingerprints(all_)), all_, owner, start)
 
     def word(self, k: int, j: int) -> str:
         s, w = self.streams[k], self.starts[k]
@@ -213,49 +233,81 @@ def longest_run(flags: list[tuple[int, bool]]) -> tuple[int, int, int]:
     return best
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the words of windows ``a`` that windows ``b`` hold, the lesser of
+    both directions; words count by their number."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), 65536):
+        same = a[lo : lo + 65536, :, None] == b[lo : lo + 65536, None, :]
+        out[lo : lo + 65536] = np.minimum(same.any(axis=2).mean(axis=1), same.any(axis=1).mean(axis=1))
+    return out
+
+
 def leaked_items(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(text number, item number, running words) of every leak."""
-    streams, starts, fps, owner, place, short = [], [], [], [], [], []
-    for t, text in enumerate(texts):
-        s, w = stream(text)
-        streams.append(s)
-        starts.append(w)
-        at = w[w <= len(s) - WINDOW]
-        if len(at):
-            fps.append(window_fingerprints(codes_of(s), at, WINDOW, GRAM))
-            owner.append(np.full(len(at), t))
-            place.append(at)
-        short.append((*seeds(s, w), t))
-    pairs: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-    if fps and len(index.fp):
-        own, at = np.concatenate(owner), np.concatenate(place)
-        left, right = index.hits(np.concatenate(fps))
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            pairs[int(own[i]), int(index.owner[j])].add((int(at[i]), int(index.place[j])))
-    for h, at, t in short:
-        left, right = index.seed_hits(h)
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            pairs[t, int(index.seed_owner[j])].add((int(at[i]), int(index.seed_place[j])))
+    """(text number, item number, running words) of every leak: of a passage of
+    nearly the least length or more, or of a whole item shorter than that."""
+    if len(index.vectors.number) > index.own + KNOWN_WORDS:
+        for w in itertools.islice(list(index.vectors.number), index.own, None):
+            del index.vectors.number[w]
+    words = [words_of(t) for t in texts]
+    numbers = [index.vectors.ids(w) for w in words]
+    streams: dict[int, tuple[str, np.ndarray]] = {}
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for size, (tables, item_windows, owner, start) in index.sizes.items():
+        parts, text, place = [], [], []
+        for t, ids in enumerate(numbers):
+            if len(ids) < size:
+                continue
+            known = np.concatenate(([0], np.cumsum(ids < index.own)))
+            at = np.flatnonzero(known[size:] - known[:-size] >= SHARED * size)
+            if len(at):
+                parts.append(np.lib.stride_tricks.sliding_window_view(ids, size)[at])
+                text.append(np.full(len(at), t))
+                place.append(at)
+        if not parts:
+            continue
+        windows, text_, place_ = np.concatenate(parts), np.concatenate(text), np.concatenate(place)
+        left, right = tables.hits(index.vectors.fingerprints(windows))
+        good = similar(windows[left], item_windows[right]) >= SHARED
+        for i, j in zip(left[good].tolist(), right[good].tolist(), strict=True):
+            t, k = int(text_[i]), int(owner[j])
+            # the longest word they share is where the alignment sets out
+            here, there = windows[i], item_windows[j]
+            o, q = max(((o, q) for o in range(size) for q in range(size) if here[o] == there[q]), key=lambda x: len(words[t][place_[i] + x[0]]))
+            pairs[t, k].append((int(place_[i]) + o, int(start[j]) + q))
     for (t, k), found in pairs.items():
-        doc, best = streams[t], 0
+        if t not in streams:
+            streams[t] = ("".join(words[t]), starts_of(words[t]))
+        doc, starts = streams[t]
+        best = 0
         covered: list[tuple[int, int, int, int]] = []
-        for dp, ip in sorted(found):
-            j = int(np.searchsorted(index.starts[k], ip))
-            if any(a <= dp < b and first <= j <= last for a, b, first, last in covered):
+        for n, j in sorted(set(found)):
+            at = int(starts[n])
+            if any(a <= at < b and first <= j <= last for a, b, first, last in covered):
                 continue
-            flags, _, b = index.align(k, j, doc, starts[t], dp)
-            run = longest_run(flags)[0]
-            if run >= MIN_WORDS - 4:
-                best = max(best, run)
+            flags, _, b = index.align(k, j, doc, starts, at)
+            best = max(best, longest_run(flags)[0])
             if flags and flags[0][0] <= j:
-                covered.append((dp, max(b, dp + 1), flags[0][0], flags[-1][0]))
-        if best:
+                covered.append((at, max(b, at + 1), flags[0][0], flags[-1][0]))
+        if best >= min(MIN_WORDS - 4, len(index.words[k])):
             yield t, k, best
 
 
-def leak_lengths(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, running_words`` of every document and item that share
-    a stretch of nearly the length of a passage.
+_indexes: dict[int, tuple[list, ItemIndex]] = {}
+
+
+def _index_of(items: list[tuple[int, str]]) -> ItemIndex:
+    """The index of these items, built once by a worker process."""
+    key = hash(tuple(items))
+    got = _indexes.get(key)
+    if got is None or got[0] != items:
+        _indexes.clear()
+        got = _indexes[key] = (items, ItemIndex(items))
+    return got[1]
+
+
+def _leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, running_words, item_words``.
 
     The items are the stated query set: read to the driver in blocks of at most
     ``BLOCK_ITEMS`` and searched for in all documents, one pass a block.
@@ -264,30 +316,38 @@ def leak_lengths(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     n = items.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
+    block = items.select("item_id", F.ntile(blocks).over(W.orderBy("item_id")).alias("block"))
     docs = documents.where("doc_id is not null and trim(text) <> ''").select("doc_id", "text")
-    schema = "doc_id bigint, item_id bigint, running_words int"
+    schema = "doc_id bigint, item_id bigint, running_words int, item_words int"
     out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]
+    for b in range(1, blocks + 1):
+        part = items.join(block.where(F.col("block") == b), "item_id") if blocks > 1 else items
+        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
 
         def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(rows)
+            index = _index_of(rows)
             for pdf in batches:
                 ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
                 found: list[tuple] = []
                 for a in range(0, len(ids), 200):
-                    found += [(ids[a + t], index.ids[k], run) for t, k, run in leaked_items(index, texts[a : a + 200])]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "running_words"])
+                    found += [(ids[a + t], index.ids[k], run, len(index.words[k])) for t, k, run in leaked_items(index, texts[a : a + 200])]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "running_words", "item_words"])
 
         out = out.unionByName(docs.mapInPandas(search, schema))
-    return out.groupBy("doc_id", "item_id").agg(F.max("running_words").alias("running_words"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("running_words").alias("running_words"), F.max("item_words").alias("item_words"))
+
+
+def leak_lengths(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, running_words`` of every document and item that share
+    a stretch of nearly the length of a passage, or the whole of a shorter item."""
+    return _leaks(documents, eval_items).drop("item_words")
 
 
 def leaking_documents(documents: DataFrame, eval_items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, item_id``: the document holds a passage of the item.
+    """``doc_id, item_id``: the document holds a passage of the item, or all of an
+    item that is shorter than a passage.
 
     Null, empty and blank texts, null ids and empty tables give nothing;
     repeated rows count once.  Whole texts are searched, however long.
     """
-    return leak_lengths(documents, eval_items).where(F.col("running_words") >= min_words).select("doc_id", "item_id")
+    return _leaks(documents, eval_items).where(F.col("running_words") >= F.least(F.lit(min_words), F.col("item_words"))).select("doc_id", "item_id")

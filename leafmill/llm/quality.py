@@ -174,13 +174,18 @@ def character_measures(t: Column) -> dict[str, Column]:
     }
 
 
+REPEATED = 0.6  # said twice, a text is half repeated and may be prose yet; said three times, two thirds
+
+
 def repetitive() -> Column:
     """Whether what is repeated outweighs the rest: one word, a phrase, a passage
     or a line said over and over.  Common words do not make that prose."""
     n = F.col("words")
-    phrase = F.greatest("top_bigram_coverage", "top_trigram_coverage")
-    passage = (F.col("repeated_5gram_coverage") > 0.5) | (F.col("duplicate_line_share") > 0.5) | (F.col("duplicate_paragraph_share") > 0.5)
-    return ((n >= 5) & (F.col("top_word_share") > 0.5)) | ((n >= 8) & ((phrase > 0.5) | passage))
+    over = lambda c: F.col(c) > REPEATED
+    phrase = over("top_bigram_coverage") | over("top_trigram_coverage")
+    passage = over("repeated_5gram_coverage") | over("duplicate_line_share") | over("duplicate_paragraph_share")
+    spaced = F.col("eastern") <= 0.3 * F.col("solid")  # where nothing parts the words there are no phrases
+    return ((n >= 5) & (F.col("top_word_share") > 0.5)) | ((n >= 8) & ((phrase & spaced) | passage))
 
 
 def verdict(t: Column) -> Column:

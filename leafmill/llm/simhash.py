@@ -1,4 +1,4 @@
-"""SimHash fingerprints of many windows of a text at once."""
+"""SimHash fingerprints from sign sums of shingle hashes."""
 
 from __future__ import annotations
 
@@ -39,19 +39,3 @@ def pack(sums: np.ndarray) -> np.ndarray:
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-def window_fingerprints(codes: np.ndarray, starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Fingerprints of the windows ``codes[s : s + size]`` for all ``starts``;
-    windows that would run over the end must not be asked for."""
-    h = gram_hashes(codes, n)
-    grams = size - n + 1
-    out = np.empty(len(starts), dtype=np.uint64)
-    block = 4096
-    for a in range(0, len(starts), block):
-        s = starts[a : a + block]
-        lo, hi = int(s[0]), int(s[-1]) + grams
-        run = np.zeros((hi - lo + 1, 64), dtype=np.int32)
-        np.cumsum(signs(h[lo:hi]), axis=0, dtype=np.int32, out=run[1:])
-        out[a : a + block] = pack(run[s - lo + grams] - run[s - lo])
-    return out

@@ -366,22 +366,28 @@ def test_leaking_documents(spark):
     assert leakage.leaking_documents(d, e.limit(0)).count() == 0
 
 
-def test_window_fingerprints_equal_single_ones():
-    c = simhash.codes_of("the quick brown fox jumps over the lazy dog and runs away")
-    at = np.arange(0, 30)
-    got = simhash.window_fingerprints(c, at, 24, 5)
-    want = [simhash.window_fingerprints(c[s : s + 24], np.array([0]), 24, 5)[0] for s in at]
-    assert got.tolist() == want
-
-
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
-    index = leakage.ItemIndex([(1, ITEM)])
-    fps = index.fp.copy()
-    for _ in range(3):
-        fps ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
-    left, right = index.hits(fps)
-    assert set(range(len(fps))) <= {int(a) for a, b in zip(left, right, strict=True) if a == b}
+    fp = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    near = np.array([int(f) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for f in fp for k in (0, 3, 13, 14, 15)], dtype=np.uint64)
+    left, right = leakage.Tables(fp).hits(near)
+    want = {(i, j) for i in range(len(near)) for j in np.flatnonzero(np.bitwise_count(fp ^ near[i]) <= leakage.RADIUS).tolist()}
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want and len(want) >= 1200
+
+
+def test_passages_come_by_near_fingerprints(monkeypatch):
+    piece = ITEM.split()[6:18]
+    piece[6] = "otherwise"  # no window of the passage is without a change then
+    text = f"quite other words before {' '.join(piece)} and quite other words after"
+    assert leaks(text)[0] == 12
+    monkeypatch.setattr(leakage, "RADIUS", 0)
+    assert leaks(text) == {}
+
+
+def test_short_items_are_found_whole(spark):
+    e = spark.createDataFrame([(1, "The amber harbour sleeps"), (2, "Harbour")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "now THE AMBER HARBOUR sleeps."), (2, "the amber harbour"), (3, "none of it")], "doc_id long, text string")
+    assert keys(leakage.leaking_documents(d, e), "doc_id", "item_id") == [(1, 1), (1, 2), (2, 2)]
 
 
 # 9 ---------------------------------------------------------------------------
