@@ -58,14 +58,35 @@ def _ranges(codes: list[int]) -> str:
 _MARKS = re.compile(f"[{_ranges([c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))])}]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Folded words: letters and digits without case, accents and look-alikes."""
+#: Characters that may bind, part or become words once they are decomposed.
+_ODD = re.compile(r"[^\w\s!-/:-@\[-`{-~“”‘’«»–—…¿¡·•§°]")
+_folded: dict[str, tuple[str, ...]] = {}
+
+
+def _fold_all(text: str) -> list[str]:
     text = _INVISIBLE.sub("", text)
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_TWINS)))
     return _WORD.findall(_HYPHEN_BREAK.sub("", text).lower())
 
 
+def words_of(text: str) -> list[str]:
+    """Folded words: letters and digits without case, accents and look-alikes."""
+    if "\n" in text:
+        text = _HYPHEN_BREAK.sub("", text)
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    if _ODD.search(text):
+        return _fold_all(text)
+    # word by word then, each form once
+    words = _WORD.findall(text.lower())
+    if len(_folded) > KNOWN_WORDS:
+        _folded.clear()
+    for w in set(words).difference(_folded):
+        _folded[w] = (w,) if w.isascii() else tuple(_fold_all(w))
+    return [x for w in words for x in _folded[w]]
+
+
 def starts_of(words: list[str]) -> np.ndarray:
     """Where each word starts in the letters of all."""
     return np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)[:-1])) if words else np.zeros(0, dtype=np.int64)
@@ -77,9 +98,12 @@ class Vectors:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, 64), dtype=np.float32)
+        self.lengths = np.zeros(1024, dtype=np.int64)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self._id(w) for w in words), dtype=np.int64, count=len(words))
+        for w in set(words).difference(self.number):
+            self._id(w)
+        return np.array([self.number[w] for w in words], dtype=np.int64)
 
     def _id(self, word: str) -> int:
         n = self.number.get(word)
@@ -87,6 +111,8 @@ class Vectors:
             n = self.number[word] = len(self.number)
             if n >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.lengths[n] = len(word)
             v = signs(gram_hashes(codes_of(f"^{word}$"), GRAM)).sum(axis=0, dtype=np.float32)
             self.table[n] = v / max(1e-6, float(np.sqrt((v * v).sum())))
         return n
@@ -137,6 +163,10 @@ class ItemIndex:
         self.streams, self.starts = ["".join(w) for w in self.words], [starts_of(w) for w in self.words]
         self.vectors = Vectors()
         numbers = [self.vectors.ids(w) for w in self.words]
+        self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
+        pad = np.full(MIN_WORDS + BAND, -2, dtype=np.int64)
+        self.flat = np.concatenate([y for x in numbers for y in (pad, x)] + [pad])
+        self.first = np.cumsum([0] + [len(x) + len(pad) for x in numbers])[:-1] + len(pad)
         self.own = len(self.vectors.number)  # words of the items have the least numbers
         self.sizes: dict[int, tuple[Tables, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({min(WINDOW, len(w)) for w in self.words} - {0}):
@@ -233,13 +263,44 @@ def longest_run(flags: list[tuple[int, bool]]) -> tuple[int, int, int]:
     return best
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the words of windows ``a`` that windows ``b`` hold, the lesser of
-    both directions; words count by their number."""
-    out = np.zeros(len(a))
-    for lo in range(0, len(a), 65536):
-        same = a[lo : lo + 65536, :, None] == b[lo : lo + 65536, None, :]
-        out[lo : lo + 65536] = np.minimum(same.any(axis=2).mean(axis=1), same.any(axis=1).mean(axis=1))
+def compare(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows ``a`` and ``b``: the share of words that both hold, the lesser of
+    both directions, and where the longest shared word stands in either."""
+    size = a.shape[1] if a.ndim > 1 else 1
+    share, here, there = np.zeros(len(a)), np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+    for lo in range(0, len(a), 16384):
+        x, y = a[lo : lo + 16384], b[lo : lo + 16384]
+        same = x[:, :, None] == y[:, None, :]
+        share[lo : lo + 16384] = np.minimum(same.any(axis=2).mean(axis=1), same.any(axis=1).mean(axis=1))
+        at = (same * lengths[x][:, :, None]).reshape(len(x), -1).argmax(axis=1)
+        here[lo : lo + 16384], there[lo : lo + 16384] = at // size, at % size
+    return share, here, there
+
+
+BAND = 2  # places by which words broken in two may shift a passage
+LOST = 3  # words of twelve that may be changed or broken
+
+
+def may_be_passage(index: ItemIndex, numbers: list[np.ndarray], anchors: np.ndarray) -> np.ndarray:
+    """Whether enough words around the anchors (text, item, word of either) stand
+    in both at about the same distance; alignment by letters decides."""
+    pad = MIN_WORDS + BAND
+    edge = lambda n: np.full(pad, n, dtype=np.int64)
+    docs = np.concatenate([y for x in numbers for y in (edge(-1), x)] + [edge(-1)])
+    doc_first = np.cumsum([0] + [len(x) + pad for x in numbers])[:-1] + pad
+    reach = np.arange(1 - MIN_WORDS, MIN_WORDS)
+    t, k, n, j = anchors
+    out = np.zeros(len(t), dtype=bool)
+    for lo in range(0, len(t), 8192):
+        part = slice(lo, lo + 8192)
+        item = index.flat[index.first[k[part]][:, None] + j[part][:, None] + reach]
+        at = doc_first[t[part]][:, None] + n[part][:, None] + reach
+        same = np.zeros(item.shape, dtype=bool)
+        for shift in range(-BAND, BAND + 1):
+            same |= docs[at + shift] == item
+        total = np.concatenate([np.zeros((len(same), 1), dtype=np.int64), np.cumsum(same, axis=1)], axis=1)
+        most = (total[:, MIN_WORDS:] - total[:, :-MIN_WORDS]).max(axis=1)
+        out[part] = most >= np.maximum(1, np.minimum(MIN_WORDS, index.counts[k[part]]) - LOST)
     return out
 
 
@@ -268,20 +329,20 @@ def leaked_items(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int,
             continue
         windows, text_, place_ = np.concatenate(parts), np.concatenate(text), np.concatenate(place)
         left, right = tables.hits(index.vectors.fingerprints(windows))
-        good = similar(windows[left], item_windows[right]) >= SHARED
-        for i, j in zip(left[good].tolist(), right[good].tolist(), strict=True):
-            t, k = int(text_[i]), int(owner[j])
-            # the longest word they share is where the alignment sets out
-            here, there = windows[i], item_windows[j]
-            o, q = max(((o, q) for o in range(size) for q in range(size) if here[o] == there[q]), key=lambda x: len(words[t][place_[i] + x[0]]))
-            pairs[t, k].append((int(place_[i]) + o, int(start[j]) + q))
+        lengths = index.vectors.lengths
+        share, o, q = compare(windows[left], item_windows[right], lengths)
+        t, k, first = text_[left], owner[right], start[right]
+        # the longest word they share is where the alignment sets out
+        anchors = np.unique(np.stack([t, k, place_[left] + o, first + q])[:, share >= SHARED], axis=1)
+        for x in anchors[:, may_be_passage(index, numbers, anchors)].T.tolist():
+            pairs[x[0], x[1]].append((x[2], x[3]))
     for (t, k), found in pairs.items():
         if t not in streams:
             streams[t] = ("".join(words[t]), starts_of(words[t]))
         doc, starts = streams[t]
         best = 0
         covered: list[tuple[int, int, int, int]] = []
-        for n, j in sorted(set(found)):
+        for n, j in found:
             at = int(starts[n])
             if any(a <= at < b and first <= j <= last for a, b, first, last in covered):
                 continue
@@ -289,7 +350,7 @@ def leaked_items(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int,
             best = max(best, longest_run(flags)[0])
             if flags and flags[0][0] <= j:
                 covered.append((at, max(b, at + 1), flags[0][0], flags[-1][0]))
-        if best >= min(MIN_WORDS - 4, len(index.words[k])):
+        if best >= min(MIN_WORDS - 2, len(index.words[k])):
             yield t, k, best
 
 
@@ -329,8 +390,8 @@ def _leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             for pdf in batches:
                 ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
                 found: list[tuple] = []
-                for a in range(0, len(ids), 200):
-                    found += [(ids[a + t], index.ids[k], run, len(index.words[k])) for t, k, run in leaked_items(index, texts[a : a + 200])]
+                for a in range(0, len(ids), 500):
+                    found += [(ids[a + t], index.ids[k], run, len(index.words[k])) for t, k, run in leaked_items(index, texts[a : a + 500])]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "running_words", "item_words"])
 
         out = out.unionByName(docs.mapInPandas(search, schema))
