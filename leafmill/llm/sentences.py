@@ -9,22 +9,19 @@ quotations and their speakers' clauses follow fixed rules.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.quality import common_by_language, element_text
 from leafmill.llm.scans import joined_texts, reflowed_paragraphs
-from leafmill.session import cut
+from leafmill.session import broadcast_if_small, cut
 
 MIN_COUNT = 3
-#: A type is learned only above this share of its language's full stops (or
-#: sentence starts): at most 1 / share types can be, so the model is bounded.
-MIN_TYPE_SHARE = 1e-5
 ABBREVIATION_SCORE = 0.3
 LLR_START = 10.83  # chi-square at 0.001
 NUMBER = "##"
@@ -40,36 +37,29 @@ _EAST_TERM = set("。！？｡")
 _DASH_SPEAKER = re.compile(rf"[{_SPACE}]*[—–-][{_SPACE}]*(\w)")
 # How a speaker's clause goes on after a quotation where letters have no case (fixed values).
 _SPEAKER = re.compile(
-    r"^(?:[ \s]*(?:と|って)|[^。！？“”「」]{0,14}(?:说|说道|问|问道|道|答|喊|叫|回答)(?:着|了|道)?[。！？，]"
+    r"(?:[ \s]*(?:と|って)|[^。！？“”「」]{0,14}(?:说|说道|问|问道|道|答|喊|叫|回答)(?:着|了|道)?[。！？，]"
     r"|\s*[^।॥?!“”]{1,48}(?:पूछा|कहा|बोला|बोली|बोले|चिल्लाया|पुकारा)\s*[।॥]|\s*(?:قال|قالت|سأل|سألت|صاح|أجاب)\b)"
 )
-_TOKEN_BEFORE = re.compile(r"[^\s“”«»„\"()\[\]—–¿¡,;:!?]+$")
+_TOKEN_EDGE = re.compile(r"[\s“”«»„\"()\[\]—–¿¡,;:!?]")
 _NEXT = re.compile(r"[^\s]+")
 _PERIOD_CONTEXT = re.compile(r"([^\s“”«»„\"()\[\]—–¿¡,;:!?]+)\.[»”\")\]]*\s+([^\s]+)")
 _INITIAL = re.compile(r"[^\w\s]*[^\W\d_]\.")
 _SURE_START = re.compile(r"[!?][»”\")\]]*\s+([^\s]+)")
 
 
+_SCRIPTS = {name: re.compile(f"[{chars}]") for name, chars in (
+    ("latin", "A-Za-zÀ-ÖØ-öø-ɏ"), ("greek", "Ͱ-Ͽ"), ("cyrillic", "Ѐ-ԯ"), ("arabic", "\u0600-\u06ff"), ("devanagari", "\u0900-\u097f"), ("kana", "\u3040-\u30ff"), ("han", "\u4e00-\u9fff"),
+)}
+
+
 def script_of(text: str) -> str:
-    """A coarse script name of a text, by its letters."""
-    n = Counter()
-    for c in text[:400]:
-        o = ord(c)
-        if 0x41 <= o <= 0x24F:
-            n["latin"] += c.isalpha()
-        elif 0x370 <= o < 0x400:
-            n["greek"] += 1
-        elif 0x400 <= o < 0x530:
-            n["cyrillic"] += 1
-        elif 0x600 <= o < 0x700:
-            n["arabic"] += 1
-        elif 0x900 <= o < 0x980:
-            n["devanagari"] += 1
-        elif 0x3040 <= o < 0x3100:
-            n["kana"] += 3
-        elif 0x4E00 <= o < 0xA000:
-            n["han"] += 1
-    return n.most_common(1)[0][0] if n else "latin"
+    """A coarse script name of a text, by all its letters; kana count three times,
+    as they stand among more han characters."""
+    if text.isascii():
+        return "latin"
+    n = {name: len(chars.findall(text)) * (3 if name == "kana" else 1) for name, chars in _SCRIPTS.items()}
+    best = max(n, key=n.get)
+    return best if n[best] else "latin"
 
 
 def language_of(text: str, commons: dict[str, frozenset[str]]) -> str:
@@ -134,18 +124,19 @@ def _count(batches: Iterator[pd.DataFrame], commons: dict[str, frozenset[str]])
         yield pd.DataFrame([(*key, v) for key, v in n.items()], columns=["lang", "what", "a", "b", "kind", "n"])
 
 
-def _entropy(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return k * np.log(p) + (n - k) * np.log(1 - p)
+def log_likelihood(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Dunning's ratio of two binomials against one; negative where the first
+    share is the lesser."""
+    k1, k2 = k1.cast("double"), k2.cast("double")
+    n1, n2 = F.greatest(n1.cast("double"), F.lit(1.0)), F.greatest(n2.cast("double"), F.lit(1.0))
+    p1, p2, p = k1 / n1, k2 / n2, (k1 + k2) / (n1 + n2)
 
+    def fits(k: Column, n: Column, q: Column) -> Column:
+        q = F.least(F.greatest(q, F.lit(1e-9)), F.lit(1 - 1e-9))
+        return k * F.log(q) + (n - k) * F.log(1 - q)
 
-def log_likelihood(k1, n1, k2, n2):
-    """Dunning's ratio of two binomials against one; signed by direction."""
-    k1, n1, k2, n2 = (np.asarray(x, dtype=float) for x in (k1, n1, k2, n2))
-    n1, n2 = np.maximum(n1, 1), np.maximum(n2, 1)
-    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
-    llr = 2 * (_entropy(k1, n1, p1) + _entropy(k2, n2, p2) - _entropy(k1, n1, p) - _entropy(k2, n2, p))
-    return np.where(p1 >= p2, llr, -llr)
+    ratio = 2 * (fits(k1, n1, p1) + fits(k2, n2, p2) - fits(k1, n1, p) - fits(k2, n2, p))
+    return F.when(p1 >= p2, ratio).otherwise(-ratio)
 
 
 class Model:
@@ -171,8 +162,8 @@ class Model:
 def learn(texts: DataFrame, common_words: DataFrame) -> Model:
     """Learn a model from a column ``text``; counts cover all texts.
 
-    Only types above ``MIN_TYPE_SHARE`` of their language reach the driver, at
-    most 100,000 a language and table however large the corpus.
+    All counts are weighed where they lie; only what was learned (abbreviations,
+    starters and collocations by their ratios) reaches the driver.
     """
     commons = common_by_language(common_words)
     counts = cut(
@@ -182,73 +173,78 @@ def learn(texts: DataFrame, common_words: DataFrame) -> Model:
         .groupBy("lang", "what", "a", "b", "kind")
         .agg(F.sum("n").alias("n"))
     )
-    total = F.sum(F.when(F.col("what") == "with", F.col("n"))).over(_over("lang"))
-    of_type = F.sum("n").over(_over("lang", "a"))
-    stops = F.sum(F.when(F.col("what") == "with", F.col("n")).otherwise(0)).over(_over("lang", "a"))
-    frequent = counts.withColumns({"total": total, "stops": stops, "of_type": of_type}).where(
-        ((F.col("what") == "start") & (F.col("n") >= MIN_COUNT)) | ((F.col("stops") >= MIN_COUNT) & (F.col("stops") >= F.col("total") * MIN_TYPE_SHARE))
-    )
-    kept = frequent.where(
-        (F.col("what") != "next") | (F.col("b") == "") | (F.col("n") >= MIN_COUNT) & (F.col("n") >= F.col("total") * MIN_TYPE_SHARE)
-    ).select("lang", "what", "a", "b", "kind", "n", "total").toPandas()
-    words = counts.where("what = 'without'").groupBy("lang").agg(F.sum("n").alias("n")).toPandas()
-    return _model(kept, dict(zip(words["lang"], words["n"], strict=True)))
-
-
-def _over(*columns: str):
-    return Window.partitionBy(*columns)
-
-
-def _model(kept: pd.DataFrame, words: dict[str, int]) -> Model:
+    return model_of(*learned(counts))
+
+
+def learned(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lang, a, ending`` of the abbreviations, ``lang, a`` of the starters and
+    ``lang, b`` of the words that go on after a number with a full stop."""
+
+    def total(*what: str, kind: str | None = None) -> Column:
+        of = F.col("what").isin(*what) if kind is None else F.col("what").isin(*what) & (F.col("kind") == kind)
+        return F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
+
+    # a row a language: as many as there are scripts and languages of common words
+    langs = F.broadcast(counts.groupBy("lang").agg(total("with").alias("stops"), total("with", "without").alias("tokens"), total("start").alias("begun")))
+    types = (
+        counts.groupBy("lang", "a")
+        .agg(
+            total("with").alias("k"), total("without").alias("miss"), total("start").alias("s"), total("next").alias("followed"),
+            *[total("next", kind=x).alias(x) for x in ("upper", "lower", "digit", "open")],
+        )
+        .join(langs, "lang")
+    )
+    seen = F.greatest(F.col("k") + F.col("miss"), F.col("s"))
+    at_start = log_likelihood(F.col("s"), F.col("begun"), seen - F.col("s"), F.col("tokens") - F.col("begun"))
+    starters = cut(types.where((F.col("s") >= MIN_COUNT) & (F.col("a") != "") & (at_start > LLR_START)).select("lang", "a"))
+    follows = counts.where("what = 'next' and kind = 'upper'").select("lang", "a", "b", "n")
+    begins = broadcast_if_small(starters.withColumnRenamed("a", "b"))
+    starting = follows.join(begins, ["lang", "b"], "left_semi").groupBy("lang", "a").agg(F.sum("n").alias("starting"))
+
+    letters = F.greatest(F.lit(1), F.length(F.replace("a", F.lit(".")))).cast("double")
+    inner = F.length("a") - F.length(F.replace("a", F.lit("."))) + 1
+    ratio = log_likelihood(F.col("k"), F.col("k") + F.col("miss"), F.col("stops") - F.col("k"), F.col("tokens") - F.col("k") - F.col("miss"))
+    score = ratio * F.exp(-letters) * inner * F.pow(letters, -F.least(F.col("miss"), F.lit(30)))
+    t = types.where((F.col("k") >= MIN_COUNT) & (F.col("a") != "") & (F.col("a") != NUMBER) & F.col("a").rlike(r"\p{L}")).join(starting, ["lang", "a"], "left")
+    begun = F.coalesce("starting", F.lit(0))
+    inside = F.col("lower") + F.col("digit") + F.col("upper") - begun
+    ending = F.when(F.col("followed") > 0, (begun + 0.5 * F.col("open")) / F.col("followed")).otherwise(0.0)
+    goes_on = (inside > 0.5 * F.greatest(F.lit(1), F.col("followed"))) & (F.col("k") > F.col("miss")) & (F.length("a") <= 5)
+    abbreviations = t.where((score >= ABBREVIATION_SCORE) | goes_on).select("lang", "a", ending.alias("ending"))
+
+    # collocations of a number with a full stop: months after ordinals
+    is_number = F.col("a") == NUMBER
+    c, o = F.coalesce(F.sum(F.when(is_number, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_number, F.col("n"))), F.lit(0))
+    numbers = types.where(is_number).select("lang", F.col("followed").alias("numbers"), "stops")
+    words = follows.groupBy("lang", "b").agg(c.alias("c"), o.alias("o")).where("b <> '' and c > o").join(F.broadcast(numbers), "lang")
+    after = log_likelihood(F.col("c"), F.col("numbers"), F.col("o"), F.col("stops") - F.col("numbers"))
+    after_number = words.where((F.col("c") >= MIN_COUNT) & (after > LLR_START)).join(begins, ["lang", "b"], "left_anti").select("lang", "b")
+    return abbreviations, starters, after_number
+
+
+MAX_LEARNED = 2_000_000  # rows of a model that a driver is asked to hold
+
+
+def model_of(abbreviations: DataFrame, starters: DataFrame, after_number: DataFrame) -> Model:
     model = Model()
-    for lang, g in kept.groupby("lang"):
-        stops = int(g["total"].dropna().max()) if g["total"].notna().any() else 0
-        tokens = stops + int(words.get(lang, 0))
-        with_ = g[g.what == "with"].groupby("a")["n"].sum()
-        without = g[g.what == "without"].groupby("a")["n"].sum()
-        nxt = g[g.what == "next"]
-        # abbreviations: a full stop goes with the type far more often than with any type
-        a = with_.index.to_numpy()
-        k = with_.to_numpy(dtype=float)
-        miss = without.reindex(with_.index).fillna(0).to_numpy(dtype=float)
-        length = np.array([max(1, len(x.replace(".", ""))) for x in a])
-        inner = np.array([x.count(".") + 1 for x in a])
-        llr = log_likelihood(k, k + miss, stops - k, tokens - k - miss)
-        score = llr * np.exp(-length) * inner * length ** -np.minimum(miss, 30)
-        number_share = {}
-        by_kind = nxt.groupby(["a", "kind"])["n"].sum()
-        # sentence starters: words frequent after sure ends and after long types with a stop
-        after = g[g.what == "start"].groupby("a")["n"].sum()
-        ends = after.sum()
-        starters = {w for w, c in after.items() if w and c >= max(MIN_COUNT, 0.001 * ends)}
-        model.starters[lang] = starters
-        model.any_starter |= starters
-        known: dict[str, float] = {}
-        for t, s, kk, mm in zip(a, score, k, miss, strict=True):
-            if not t or t == NUMBER or not any(c.isalpha() for c in t) or len(t) > 10:
-                continue
-            follow = {kind: int(by_kind.get((t, kind), 0)) for kind in ("upper", "lower", "digit", "open")}
-            n_follow = sum(follow.values())
-            ups = nxt[(nxt.a == t) & (nxt.kind == "upper")] if follow["upper"] else None
-            starting = int(ups[ups.b.isin(starters)]["n"].sum()) if ups is not None else 0
-            ending = (starting + 0.5 * follow["open"]) / n_follow if n_follow else 0.0
-            inside = follow["lower"] + follow["digit"] + follow["upper"] - starting
-            if s >= ABBREVIATION_SCORE or (inside > 0.5 * max(1, n_follow) and kk > mm and len(t) <= 5):
-                known[t] = ending
-                number_share[t] = follow["digit"] / n_follow if n_follow else 0.0
-        model.abbreviations[lang] = known
-        for t, e in known.items():
-            model.any_abbreviation[t] = min(e, model.any_abbreviation.get(t, 1.0))
-        # collocations of a number with a full stop: months after ordinals
-        numbers = nxt[(nxt.a == NUMBER) & (nxt.kind == "upper")].groupby("b")["n"].sum()
-        all_numbers = float(nxt[nxt.a == NUMBER]["n"].sum())
-        others = nxt[(nxt.a != NUMBER) & (nxt.kind == "upper")].groupby("b")["n"].sum()
-        coll = set()
-        for w, c in numbers.items():
-            o = float(others.get(w, 0))
-            if w and w not in starters and c > o and log_likelihood(c, all_numbers, o, max(1.0, stops - all_numbers)) > LLR_START:
-                coll.add(w)
-        model.after_number[lang] = coll
+
+    def rows(df: DataFrame) -> list:
+        got = df.limit(MAX_LEARNED + 1).collect()
+        if len(got) > MAX_LEARNED:
+            raise ValueError("the sentence model outgrows the driver; learn it a language at a time")
+        return got
+
+    for r in rows(abbreviations):
+        model.abbreviations.setdefault(r["lang"], {})[r["a"]] = r["ending"]
+        model.any_abbreviation[r["a"]] = min(r["ending"], model.any_abbreviation.get(r["a"], 1.0))
+    for r in rows(starters):
+        model.starters.setdefault(r["lang"], set()).add(r["a"])
+        model.any_starter.add(r["a"])
+    for r in rows(after_number):
+        model.after_number.setdefault(r["lang"], set()).add(r["b"])
+    for lang in {*model.abbreviations, *model.starters}:
+        model.abbreviations.setdefault(lang, {})
+        model.starters.setdefault(lang, set())
     return model
 
 
@@ -259,24 +255,35 @@ def _letter_after(text: str, i: int) -> str:
     return text[i] if i < n else ""
 
 
+_CLAUSE = re.compile(rf"[{_SPACE}]*[,，、]")
+_BLANK = re.compile(r"\s*")
+
+
 def _quotations(text: str) -> list[tuple[int, int, bool, bool]]:
     """Spans of quotations; whether a speaker's clause follows, or precedes."""
     out = []
     for m in _QUOTES.finditer(text):
-        rest = text[m.end() : m.end() + 64]
-        follows = bool(re.match(rf"[{_SPACE}]*[,，、]", rest)) and not rest.startswith(("。",))
+        end = m.end()
+        follows = bool(_CLAUSE.match(text, end))
         if not follows:
-            d = _DASH_SPEAKER.match(rest)
-            c = d[1] if d else rest.lstrip()[:1]
+            d = _DASH_SPEAKER.match(text, end)
+            at = _BLANK.match(text, end).end()
+            c = d[1] if d else text[at : at + 1]
             follows = bool(c) and c.islower()
-        before = text[: m.start()].rstrip()
-        precedes = before.endswith((":", "："))
+        k = m.start()
+        while k and text[k - 1].isspace():
+            k -= 1
+        precedes = k > 0 and text[k - 1] in ":："
         if not follows and not precedes:
-            follows = bool(_SPEAKER.match(rest))
-        out.append((m.start(), m.end(), follows, precedes))
+            follows = bool(_SPEAKER.match(text, end))
+        out.append((m.start(), end, follows, precedes))
     return out
 
 
+_GUILLEMET_GAP = re.compile(rf"[{_SPACE}]+(?=»)")
+_BRACKET = re.compile(r"\s*\(")
+
+
 def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
     """Code points up to and including the last one of every sentence."""
     n = len(text)
@@ -284,6 +291,8 @@ def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
     if stripped == 0:
         return [n]
     quotes = _quotations(text) if any(c in text for c in "“«「『„\"‹") else []
+    opens, by_end = [q[0] for q in quotes], {q[1]: q for q in quotes}
+    tokens = Tokens(text)
     ends: list[int] = []
     greek = lang == "greek"
     for m in _TERMS.finditer(text):
@@ -299,11 +308,11 @@ def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
             if c in _HIDDEN:
                 end += 1
                 continue
-            gap = re.match(rf"[{_SPACE}]+(?=[»])", text[end:])
-            if gap and any(a < m.start() and b == end + gap.end() + 1 for a, b, _, _ in quotes):
-                end += gap.end()
+            gap = _GUILLEMET_GAP.match(text, end)
+            if gap and (q := by_end.get(gap.end() + 1)) and q[0] < m.start():
+                end = gap.end()
                 continue
-            q = next((x for x in quotes if x[1] == end + 1), None)
+            q = by_end.get(end + 1)
             if q is not None and q[0] < m.start():
                 closed = q
                 end += 1
@@ -318,7 +327,8 @@ def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
             break
         while end > m.end() and text[end - 1] in _HIDDEN:
             end -= 1
-        inside = next((x for x in quotes if x[0] < m.start() and x[1] > end), None)
+        k = bisect_left(opens, m.start()) - 1  # quotations do not overlap
+        inside = quotes[k] if k >= 0 and quotes[k][1] > end else None
         if inside and (inside[2] or inside[3]):
             continue
         if closed and closed[2]:
@@ -334,19 +344,19 @@ def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
             nxt = text[i] if i < n else ""
             if not ("⺀" <= nxt < "꓀" or (last in "!?؟…" and nxt in "“«「—–") or (closed and nxt in "“«「—–")):
                 continue
-        d = _DASH_SPEAKER.match(text[end : end + 16])
+        d = _DASH_SPEAKER.match(text, end)
         if d and d[1].islower():
             continue
         following = _letter_after(text, end)
         ellipsis = len(term) >= 2 and set(term) <= {".", "…"} or term == "…"
         if following.islower() and not east:
             # a small letter goes on, but for a bracket of its own after a full stop
-            if not (text[end:].lstrip()[:1] == "(" and not ellipsis and _stop_kind(text, m.start(), model, lang) is None):
+            if not (_BRACKET.match(text, end) and not ellipsis and _stop_kind(tokens, m.start(), model, lang) is None):
                 continue
         if term == "." or term == "．":
             if lang == "devanagari" and "ऀ" <= text[m.start() - 1 : m.start()] <= "ॿ":
                 continue
-            if not _is_end(text, m.start(), end, model, lang):
+            if not _is_end(tokens, m.start(), end, model, lang):
                 continue
         ends.append(end)
     if not ends or ends[-1] < stripped:
@@ -354,28 +364,52 @@ def sentence_ends(text: str, model: Model, lang: str) -> list[int]:
     return sorted(set(ends))
 
 
-def _stop_kind(text: str, stop: int, model: Model, lang: str) -> float | None:
-    before = _TOKEN_BEFORE.search(text[max(0, stop - 24) : stop])
-    return model.abbreviation(lang, _type(before[0])) if before else None
+class Tokens:
+    """The token before any place of a text, its edges found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._edges: list[int] | None = None
+
+    def before(self, stop: int) -> str:
+        if self._edges is None:
+            self._edges = [0, *(m.end() for m in _TOKEN_EDGE.finditer(self.text))]
+        return self.text[self._edges[bisect_right(self._edges, stop) - 1] : stop]
+
+
+_FIRST_NUMBER = re.compile(r"\s*\[?\d{1,3}\]?$")
+
+
+def _opens_text(text: str, stop: int) -> bool:
+    """Whether only a number in brackets or bare stands before ``stop``."""
+    start = _BLANK.match(text).end()
+    return stop - start <= 5 and bool(_FIRST_NUMBER.match(text[start:stop]))
 
 
-def _is_end(text: str, stop: int, end: int, model: Model, lang: str) -> bool:
+def _stop_kind(tokens: Tokens, stop: int, model: Model, lang: str) -> float | None:
+    before = tokens.before(stop)
+    return model.abbreviation(lang, _type(before)) if before else None
+
+
+_LEADING = re.compile(rf"[{re.escape(_HIDDEN + _OPEN)} \t]*")
+
+
+def _is_end(tokens: Tokens, stop: int, end: int, model: Model, lang: str) -> bool:
     """Classify one full stop that is followed by space and no small letter."""
-    before = _TOKEN_BEFORE.search(text[max(0, stop - 24) : stop])
-    token = before[0] if before else ""
+    text, token = tokens.text, tokens.before(stop)
     nxt = _NEXT.search(text, end)
     word, kind = _next_type(nxt[0]) if nxt else ("", "open")
     t = _type(token)
     if not t:
         return True
     if t == NUMBER:
-        if not text[: stop - len(token)].strip(_HIDDEN + _OPEN + " \t"):
+        if _LEADING.match(text).end() >= stop - len(token):
             return False  # a number that opens the text counts something
-        if re.match(r"\[?\d{1,3}\]?$", text[: stop].strip()):
+        if _opens_text(text, stop):
             return False
         return not (kind == "upper" and len(token) <= 2 and word in model.after_number.get(lang, ()))
     initial = len(t) == 1 and t.isalpha() and (token.isupper() or kind == "digit")
-    if len(t) == 1 and nxt and re.match(r"[^\W\d_]\.", nxt[0]):
+    if len(t) == 1 and nxt and _ONE_LETTER.match(nxt[0]):
         return False  # a row of initials
     share = model.abbreviation(lang, t)
     if initial and share is None:
@@ -385,12 +419,15 @@ def _is_end(text: str, stop: int, end: int, model: Model, lang: str) -> bool:
     if kind == "digit":
         return share > 0.5
     if kind == "upper":
-        if initial and token.isupper() and text[end:].lstrip()[:1].isupper():
+        if initial and token.isupper() and nxt and nxt[0][0].isupper():
             return model.starts(lang, word) and share > 0.5
         return share >= 0.9 or model.starts(lang, word)
     return share > 0.3 or len(t) > 3
 
 
+_ONE_LETTER = re.compile(r"[^\W\d_]\.")
+
+
 def element_texts(elements: DataFrame) -> DataFrame:
     """``book_id, el_seq, kind, text`` of the elements, each record once."""
     return elements.groupBy("book_id", "el_seq", "kind").agg(F.max(element_text(F.col("runs"))).alias("text"))
