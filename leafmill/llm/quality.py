@@ -9,6 +9,7 @@ tables, indexes, contents, boilerplate and junk.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -60,26 +61,23 @@ def common_by_language(common_words: DataFrame) -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in by.items()}
 
 
-def _coverage(words: list[str], n: int) -> float:
+def _grams(words: list[str], n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def _coverage(grams: Counter, letters: int) -> float:
     """Share of the words' characters inside the most frequent n-gram."""
-    grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
-    if not grams:
+    k = max(grams.values(), default=0)
+    if k < 2:
         return 0.0
-    k = max(grams.values())
-    if k == 1:
-        return 0.0
-    longest = max(sum(map(len, g)) for g, c in grams.items() if c == k)
-    return min(1.0, k * longest / max(1, sum(map(len, words))))
+    return min(1.0, k * max(sum(map(len, g)) for g, c in grams.items() if c == k) / max(1, letters))
 
 
 def _repeated(words: list[str], n: int) -> float:
     """Share of the words that stand in an n-gram seen before."""
-    if len(set(zip(*(words[i:] for i in range(n)), strict=False))) == max(0, len(words) - n + 1):
-        return 0.0
     seen: set[tuple] = set()
     covered, upto = 0, 0
-    for i in range(len(words) - n + 1):
-        g = tuple(words[i : i + n])
+    for i, g in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
         if g in seen:
             covered += i + n - max(upto, i)
             upto = i + n
@@ -87,70 +85,86 @@ def _repeated(words: list[str], n: int) -> float:
     return covered / len(words) if words else 0.0
 
 
+def repetition(words: list[str], letters: int) -> tuple[float, float, float]:
+    """Coverage of the dominant bigram and trigram, and the share of repeated
+    5-grams; longer n-grams are repeated only where shorter ones are."""
+    pairs = _grams(words, 2)
+    if len(pairs) == sum(pairs.values()):
+        return 0.0, 0.0, 0.0
+    threes = _grams(words, 3)
+    if len(threes) == sum(threes.values()):
+        return _coverage(pairs, letters), 0.0, 0.0
+    return _coverage(pairs, letters), _coverage(threes, letters), _repeated(words, 5)
+
+
 def _duplicates(parts: list[str]) -> float:
     parts = [p.strip() for p in parts if p.strip()]
     return 1 - len(set(parts)) / len(parts) if parts else 0.0
 
 
-def common_share(words: list[str], text: str, commons: dict[str, frozenset[str]]) -> tuple[float, str]:
-    """Greatest share of one language's common words, and that language; of
-    scripts without spaces, the characters the common words cover."""
-    best, lang = 0.0, ""
-    eastern = len(_EASTERN.findall(text))
-    if eastern > 0.3 * max(1, len(text.replace(" ", ""))):
-        for k in ("ja", "zh"):
-            if k in commons:
-                share = sum(len(w) * text.count(w) for w in commons[k]) / eastern
-                if share > best:
-                    best, lang = share, k
-        return min(1.0, best), lang
-    if not words:
-        return 0.0, ""
-    counts = Counter(words)
-    for k, known in commons.items():
-        share = sum(counts[w] for w in known.intersection(counts)) / len(words)
-        if share > best:
-            best, lang = share, k
-    return best, lang
+def languages_of(commons: dict[str, frozenset[str]]) -> dict[str, tuple[str, ...]]:
+    """The languages of each common word."""
+    by: dict[str, list[str]] = defaultdict(list)
+    for lang, known in commons.items():
+        for w in known:
+            by[w].append(lang)
+    return {w: tuple(langs) for w, langs in by.items()}
+
 
+def common_share(counts: Counter, n: int, text: str, commons: dict[str, frozenset[str]], languages: dict[str, tuple[str, ...]]) -> float:
+    """Greatest share of one language's common words; of scripts without spaces,
+    the characters the common words cover."""
+    if not text.isascii() and (eastern := len(_EASTERN.findall(text))) > 0.3 * max(1, len(text.replace(" ", ""))):
+        cover = (sum(len(w) * text.count(w) for w in commons.get(k, ())) for k in ("ja", "zh"))
+        return min(1.0, max(cover) / eastern)
+    by: Counter[str] = Counter()
+    for w in languages.keys() & counts.keys():
+        for lang in languages[w]:
+            by[lang] += counts[w]
+    return max(by.values()) / n if by else 0.0
 
-def measure(text: str, commons: dict[str, frozenset[str]]) -> tuple:
+
+@functools.lru_cache(50_000)
+def _odd(word: str) -> int:
+    """Of a Latin word of four letters or more: 1 without a vowel, else 0; -1 of others."""
+    return -1 if len(word) < 4 or not word.isascii() else int(not _VOWEL.search(word))
+
+
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def measure(text: str, commons: dict[str, frozenset[str]], languages: dict[str, tuple[str, ...]]) -> tuple:
     """``WORD_MEASURES`` of one text."""
     low = text.lower()
     words = _WORD.findall(low)
-    n = len(words)
-    tokens = text.split()
-    chars = Counter(low.translate(_BLANKS))
+    n, letters = len(words), sum(map(len, words))
+    chars = Counter(low)
+    for c in _BLANKS if len(chars) > len(_BLANKS) else [c for c in chars if c.isspace()]:
+        chars.pop(c, None)
     solid = sum(chars.values())
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x.strip()] if "\n" in text else []
     numbers = mixed = 0
     if _DIGIT.search(text):
-        with_digit = [t for t in tokens if _DIGIT.search(t)]
+        with_digit = [t for t in text.split() if _DIGIT.search(t)]
         numbers = sum(bool(_NUMBER.match(t)) for t in with_digit)
         mixed = sum(bool(_MIXED.fullmatch(t.strip(".,;:!?()"))) for t in with_digit)
-    latin = [w for w in words if w.isascii() and len(w) >= 4]
-    odd = sum(not _VOWEL.search(w) for w in latin) / len(latin) if len(latin) >= 5 else 0.0
+    odd = [k for k in map(_odd, words) if k >= 0]
     counts = Counter(words)
     return (
         n,
-        sum(map(len, words)),
+        letters,
         max(chars.values()) / solid if solid else 0.0,
-        common_share(words, text, commons)[0],
+        common_share(counts, n, text, commons, languages),
         _duplicates(lines) if len(lines) > 1 else 0.0,
         _duplicates(text.split("\n\n")) if "\n\n" in text else 0.0,
         max(counts.values()) / n if n else 0.0,
-        _coverage(words, 2) if len(counts) < n else 0.0,
-        _coverage(words, 3) if len(counts) < n else 0.0,
-        _repeated(words, 5) if len(counts) < n else 0.0,
+        *(repetition(words, letters) if len(counts) < n else (0.0, 0.0, 0.0)),
         numbers,
         mixed,
-        odd,
+        sum(odd) / len(odd) if len(odd) >= 5 else 0.0,
     )
 
 
-_BLANKS = {c: None for c in range(0x3001) if chr(c).isspace()}
-
-
 def character_measures(t: Column) -> dict[str, Column]:
     """Counts on the characters of a text, as built-in expressions."""
     solid = F.regexp_replace(t, rf"[{WS}]+", "")
@@ -238,16 +252,19 @@ def text_statistics(elements: DataFrame, common_words: DataFrame) -> DataFrame:
     measured whole; an empty ``common_words`` makes every share 0.
     """
     commons = common_by_language(common_words)
+    languages = languages_of(commons)
     one = elements.groupBy("book_id", "el_seq", "kind").agg(F.max(element_text(F.col("runs"))).alias("text"))
 
     @F.pandas_udf(WORD_MEASURES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in WORD_MEASURES.split(", ")]
         for s in texts:
-            yield pd.DataFrame([measure(t, commons) for t in s], columns=names)
+            yield pd.DataFrame([measure(t, commons, languages) for t in s], columns=names)
 
     t = F.col("text")
-    d = one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*").withColumns(character_measures(t))
+    # a generator of one row keeps filters on what follows from repeating the measures
+    counts = F.struct(*[c.alias(k) for k, c in character_measures(t).items()])
+    d = one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*", F.inline(F.array(counts)))
     d = d.withColumns(
         {
             "mean_word_length": F.coalesce(F.try_divide("letters_in_words", "words"), F.lit(0.0)),
