@@ -9,10 +9,10 @@ sure (one JVM pattern) go through the search.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,6 +77,8 @@ _RULES: list[tuple[str, float]] = [
     (r"[^\s฀-鿿가-힯＀-￯_.\-]{36,}", 1.5),
     (r"[¡-ª¬-º¼-¿][؀-ۿ]", 1.2),
     (r"[ƀ-ɏ҂-ԯ܀-࣯]", 0.8),
+    (rf"(?<=[{_LETTER}])‘(?=\S)", 1.2),
+    (r"[¨´¸ˆ˜˘˙˚˛˝][‘’“”\xad]|[‘’“”\xad][¨´¸ˆ˜˘˙˚˛˝]", 1.0),
 ]
 _COMPILED = [(re.compile(p), w) for p, w in _RULES]
 
@@ -123,7 +125,7 @@ def _letter_mean(text: str) -> tuple[float, int]:
 SUSPECT = (
     r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�-]"
     r"|\p{L}[?!]\p{L}|(?:^|\s)\?\p{Ll}"
-    r"|\p{L}[\p{S}¢£¤¥¦§¨©¬®¯±²³´µ¶·¸¹¼½¾×÷†‡•‰‚„«¿¡‹]|[\p{S}¢£¤¥¦§¨©¬®¯±²³´µ¶·¸¹¼½¾×÷†‡•‰‚„»›…]\p{L}"
+    r"|\p{L}[\p{S}¢£¤¥¦§¨©¬®¯±²³´µ¶·¸¹¼½¾×÷†‡•‰‚„«¿¡‹“ˆ]|[\p{S}¢£¤¥¦§¨©¬®¯±²³´µ¶·¸¹¼½¾×÷†‡•‰‚„»›…”ˆ]\p{L}"
     r"|[\p{S}\p{No}¡¢-¿]{2}|[ÂÃâÐÑÎÏ][ -¿]|[À-ÖØ-öø-ÿŒœŠšŽžŸƒ]{3,}|\p{Ll}\p{Lu}"
     r"|[\p{IsLatin}][\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHangul}]|[\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHangul}][\p{IsLatin}]"
     r"|[｡-ﾟ]{3,}|[ЀЂЃЄЅІЇЈЉЊЋЌЎЏђѓєѕіїјљњћќўџҐґ]|[А-Я]{3,}|[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]ß"
@@ -131,9 +133,19 @@ SUSPECT = (
     r"|[A-Za-z][\"#$%&(*+<=>@\[\\^`{|}~][A-Za-z]|[a-z][0-9][a-z]"
     r"|&(?:\w{2,8}|#\w{2,6});|\\[ux][0-9a-fA-F]{2}|[%=][C-F][0-9A-F][%=]|[^\s฀-鿿가-힯＀-￯_.\-]{36,}"
     r"|[–—][\p{S}ªºøæÄÅÇ¡-¿]|[¡-ª¬-º¼-¿][؀-ۿ]|[ƀ-ɏ҂-ԯ܀-࣯]"
+    r"|\p{L}‘\S|[¨´¸ˆ˜˘˙˚˛˝][‘’“”\xad]|[‘’“”\xad][¨´¸ˆ˜˘˙˚˛˝]"
 )
 
 
+_CONSONANT = "bcdfghjklmnpqrstvwxz"
+_CONSONANT += _CONSONANT.upper()
+#: Texts of these characters alone can be suspects by the few patterns below only.
+BEYOND_PLAIN = r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9 .,;:\-]"
+PLAIN_SUSPECT = rf"[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]|[À-ÖØ-öø-ÿ]{{3}}|[{_CONSONANT}]ß|[{_CONSONANT}]{{4}}|[a-z][0-9][a-z]|[^ .\-]{{36}}"
+#: Damage of a name in ASCII alone.
+ASCII_DAMAGE = r"\?|[%=][C-F][0-9A-F][%=]|&#?\w{2,8};|\\[ux][0-9a-fA-F]{2}"
+
+
 def cost(text: str) -> float:
     """How implausible the characters of a text are, in sum; 0 is plain."""
     c = 0.0
@@ -226,8 +238,13 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _QUOTED = re.compile(r"(?:[%=][0-9A-F]{2})+")
 
 
+@functools.lru_cache(512)
+def _shifted(k: int) -> dict[int, int]:
+    return {o: o + k for o in range(0x100) if 9 <= o + k < 0x100}
+
+
 def _shift(text: str, k: int) -> str:
-    return "".join(chr(ord(c) + k) if 0 <= ord(c) < 0x100 and 9 <= ord(c) + k < 0x100 else c for c in text)
+    return text.translate(_shifted(k))
 
 
 def _readable(text: str) -> bool:
@@ -270,47 +287,48 @@ def neighbours(text: str) -> Iterator[str]:
         yield _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), text)
     if _QUOTED.search(text):
         yield _QUOTED.sub(lambda m: bytes.fromhex(re.sub("[%=]", "", m[0])).decode("utf-8", "replace"), text)
-    # a glyph table shifted by a constant: whatever is frequent may be the space
+    # a glyph table shifted by a constant: any of the characters may be the space
     if sum(ord(c) < 0x100 for c in text) == len(text):
-        shifts = {32 - ord(c) for c, _ in Counter(text).most_common(3)} | {-1, 29, -31}
+        shifts = {32 - ord(c) for c in set(text)} | {-1, 29, -31}
         for k in sorted(shifts - {0}):
             got = _shift(text, k)
             if _readable(got):
                 yield got
 
 
-EXPANSIONS = 8  # texts expanded in one search
 STEP_COST = 0.25  # a longer way must pay for itself
+DETOUR = 4.0  # the first step may make a text so much worse; every later one must make it better
 
 
 def restore(text: str | None) -> tuple[str | None, float, float]:
-    """The cheapest text reachable, its cost and the cost of the given text."""
+    """The cheapest text reachable, its cost and the cost of the given text.
+
+    The graph holds the texts one step away and all that are reached from them
+    by steps that each lower the cost.  Its cheapest text is found whatever its
+    depth: the search ends when no text beyond those held can beat the best, as
+    each costs its steps at least.
+    """
     if not text:
         return text, 0.0, 0.0
     first = cost(text)
     best, best_cost = text, first
-    if first == 0.0:
-        return text, 0.0, 0.0
     seen = {hash(text)}
-    heap = [(first, 0, text)]
-    for _ in range(EXPANSIONS):
-        if not heap:
-            break
-        c, depth, t = heapq.heappop(heap)
-        if best_cost == 0.0 and c > first:
-            break
+    heap = [(first, 0, text, first)] if first else []
+    while heap:
+        _, depth, t, here = heapq.heappop(heap)
+        if STEP_COST * (depth + 1) >= best_cost:
+            continue
         for n in neighbours(t):
             h = hash(n)
             if h in seen:
                 continue
             seen.add(h)
-            cn = cost(n) + STEP_COST * (depth + 1)
+            plain = cost(n)
+            cn = plain + STEP_COST * (depth + 1)
             if cn < best_cost:
                 best, best_cost = n, cn
-            if depth < 2 and cn < first + 4:
-                heapq.heappush(heap, (cn, depth + 1, n))
-        if best_cost <= STEP_COST * 2:
-            break
+            if plain < (here if depth else first + DETOUR):
+                heapq.heappush(heap, (cn, depth + 1, n, plain))
     return best, best_cost, first
 
 
@@ -353,10 +371,17 @@ def restored(text: Column) -> Column:
 
 def is_suspect(text: Column) -> Column:
     """The JVM filter: a suspect character, or ASCII letters of which too many
-    are rare ones."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    rare = F.length(F.regexp_replace(text, "[^bfhjkpqvwxyzBFHJKPQVWXYZ]", ""))
-    return F.coalesce(text.rlike(SUSPECT) | ((letters >= 4) & (rare > 0.3 * letters)), F.lit(False))
+    are rare ones.  Texts of plain characters are looked at with few patterns."""
+    lacking = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    letters = lacking("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    rare = lacking("bfhjkpqvwxyzBFHJKPQVWXYZ")
+    signs = F.when(text.rlike(BEYOND_PLAIN), text.rlike(SUSPECT)).otherwise(text.rlike(PLAIN_SUSPECT))
+    return F.coalesce(signs | ((letters >= 4) & (rare > 0.3 * letters)), F.lit(False))
+
+
+def is_suspect_name(font: Column) -> Column:
+    """The same of a font name, whose capitals inside are no sign of damage."""
+    return F.coalesce(font.rlike(ASCII_DAMAGE) | (font.rlike(r"[^\x00-\x7f]") & is_suspect(font)), F.lit(False))
 
 
 def _is_case(found: str, original: str) -> Column:
@@ -371,12 +396,8 @@ def restored_spans(spans: DataFrame) -> DataFrame:
     searched whole.  Other columns are ignored; an empty table gives no rows.
     """
     bare = F.regexp_replace("font", r"^[A-Z]{6}\+", "")
-    suspects = (
-        spans.select(*SPAN_KEY, "text", "font")
-        .where(is_suspect(F.col("text")) | F.coalesce(F.col("font").rlike(r"[^\x00-\x7f]") & is_suspect(bare), F.lit(False)))
-        .distinct()
-    )
-    odd_font = F.coalesce(F.col("font").rlike(r"[^\x00-\x7f]"), F.lit(False))
+    odd_font = is_suspect_name(bare)
+    suspects = spans.select(*SPAN_KEY, "text", "font").where(is_suspect(F.col("text")) | odd_font).distinct()
     found = (
         suspects.withColumn("ft", restored(F.when(is_suspect(F.col("text")), F.col("text"))))
         .withColumn("bare", F.when(odd_font, bare))

@@ -87,6 +87,14 @@ def test_wrong_decodings_are_undone(wrong):
     assert mojibake.judge(wrong(t))[0] == t
 
 
+@pytest.mark.parametrize("layers", [1, 2, 3, 4, 5])
+def test_layers_of_wrong_decoding_are_undone(layers):
+    text = wrong = "O capítulo começa à luz de uma lamparina"
+    for _ in range(layers):
+        wrong = wrong.encode("utf-8").decode("latin-1")
+    assert mojibake.restore(wrong)[0] == text
+
+
 @pytest.mark.parametrize("shift", [1, -29, 31])
 def test_shifted_glyph_tables(shift):
     t = "the old printing house keeps the register of tides"
