@@ -160,13 +160,14 @@ def repeated_lines(
         .where(F.col("np") >= F.greatest(F.lit(2), F.ceil(F.col("need") * CENTRE_SHARE)))
         .select("book_id", "kid")
     )
-    held = pieces.join(chunks, ["book_id", "chunk"], "left_semi").select("book_id", "kid", "chunk").distinct()
-    leading = held.join(readings, ["book_id", "kid"], "left_semi").withColumnRenamed("kid", "centre_id")
-    pairs = held.join(leading, ["book_id", "chunk"]).select("book_id", "kid", "centre_id").distinct()
+    # sides that grow with the corpus are never broadcast, however small a run finds them
+    held = pieces.join(chunks.hint("merge"), ["book_id", "chunk"], "left_semi").select("book_id", "kid", "chunk").distinct()
+    leading = held.join(readings.hint("merge"), ["book_id", "kid"], "left_semi").withColumnRenamed("kid", "centre_id")
+    pairs = held.join(leading.hint("merge"), ["book_id", "chunk"]).select("book_id", "kid", "centre_id").distinct()
     keys = lines.groupBy("book_id", "kid").agg(F.first("key").alias("key"))
     centres = keys.withColumnsRenamed({"kid": "centre_id", "key": "centre"})
     near = (
-        pairs.join(keys, ["book_id", "kid"]).join(centres, ["book_id", "centre_id"])
+        pairs.join(keys.hint("merge"), ["book_id", "kid"]).join(centres.hint("merge"), ["book_id", "centre_id"])
         .where(F.abs(F.length("key") - F.length("centre")) <= 2 * misread)
         .where(
             (F.col("kid") == F.col("centre_id"))
@@ -176,13 +177,13 @@ def repeated_lines(
         .select("book_id", "kid", "centre_id")
     ).transform(_keep)
     groups = (
-        near.join(on_pages, ["book_id", "kid"])
+        near.join(on_pages.hint("merge"), ["book_id", "kid"])
         .select("book_id", "centre_id", "page").distinct()
         .groupBy("book_id", "centre_id").agg(F.count("*").alias("np"))
         .join(need, "book_id").where("np >= need").select("book_id", "centre_id")
     )
-    found = near.join(groups, ["book_id", "centre_id"], "left_semi").select("book_id", "kid").distinct()
-    return lines.join(found, ["book_id", "kid"], "left_semi").select(*LINE_KEY)
+    found = near.join(groups.hint("merge"), ["book_id", "centre_id"], "left_semi").select("book_id", "kid").distinct()
+    return lines.join(found.hint("merge"), ["book_id", "kid"], "left_semi").select(*LINE_KEY)
 
 
 def _keep(df: DataFrame) -> DataFrame:
@@ -198,4 +199,4 @@ def without_repeated_lines(book_lines: DataFrame, **limits) -> DataFrame:
     cond = same[0]
     for s in same[1:]:
         cond = cond & s
-    return book_lines.join(cases, cond, "left_anti")
+    return book_lines.join(cases.hint("merge"), cond, "left_anti")
