@@ -11,7 +11,8 @@ furniture and with the corrections applied.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ WORD_SHARE = 1e-5
 PAIR_SHARE = 2e-6
 SURE_RATIO = 6  # the same where the edit is a usual confusion of glyphs
 RATIO = 20  # a word must be so many times as frequent as its misreading
+RARE_GROUP = 2e-6  # share of all letter groups of names up to which one is rare
 VECTOR = 24
 
 _BREAK = re.compile(r"([^\W\d_])[-‐¬­‑]$")
@@ -52,6 +54,7 @@ _GROUPS = [("rn", "m"), ("iii", "m"), ("ii", "u"), ("ii", "n"), ("vv", "w"), ("c
 _PLAUSIBLE = {frozenset(x) for x in (
     "ec", "co", "oe", "il", "lt", "it", "ij", "jl", "ft", "tf", "lf", "hb", "un", "nr", "rv", "vy", "gq", "yg", "sz", "ao", "ae", "ce", "bh", "hn", "mn", "kh", "lk", "lI", "rt", "rc", "tc", "uv", "xk", "db", "pq", "gy", "sg", "eo", "ui", "ri", "rf", "sf", "tr", "lr", "li",
 )}
+_PARTNERS: dict[str, list[str]] = {c: sorted({x for p in _PLAUSIBLE if c in p for x in p} - {c}) for c in sorted({c for p in _PLAUSIBLE for c in p})}
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
@@ -159,11 +162,36 @@ class Lexicon:
         self.rare = max(2, least // 8)  # words from this count on are kept, pairs from ``pair_least`` on
         self.pair_least = 3
         self.seen: dict[tuple[str, str], int] = {}
-        letters = Counter()
-        for w in words:
-            letters.update(set(w))
-        self.alphabet = "".join(c for c, _ in letters.most_common(60) if c.isalpha())
+        self.group_floor = 0  # letter groups seen no more often than this are not kept
+        self._sorted = sorted(w for w, n in words.items() if n >= least)
         self._known: dict[str, list] = {}
+        self._lacking: dict[str, list[tuple[str, int]]] | None = None
+
+    def __getstate__(self) -> dict:
+        # tables that a worker builds for itself do not travel
+        return {**self.__dict__, "_lacking": None, "_known": {}, "_sorted": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._sorted = sorted(w for w, n in self.words.items() if n >= self.least)
+
+    def group(self, letters: str) -> int:
+        return max(self.groups.get(letters, 0), self.group_floor)
+
+    def starts_word(self, prefix: str) -> bool:
+        """Whether a frequent word begins so."""
+        i = bisect_left(self._sorted, prefix)
+        return i < len(self._sorted) and self._sorted[i].startswith(prefix)
+
+    def lacking(self) -> dict[str, list[tuple[str, int]]]:
+        """Every frequent word without one of its letters -> the words and places."""
+        if self._lacking is None:
+            self._lacking = defaultdict(list)
+            for w in self._sorted:
+                for i in range(len(w)):
+                    self._lacking[w[:i] + w[i + 1 :]].append((w, i))
+            self._lacking.default_factory = None
+        return self._lacking
 
     def frequent(self, key: str) -> bool:
         return self.words.get(key, 0) >= self.least
@@ -213,20 +241,20 @@ class Lexicon:
             if w != key and self.words.get(w, 0) >= self.least:
                 found[w] = found.get(w, False) or plausible
 
-        n = len(key)
+        lacking = self.lacking()
         for a, b in _GROUPS:
             i = key.find(a)
             while i >= 0:
                 add(key[:i] + b + key[i + len(a) :], True)
                 i = key.find(a, i + 1)
-        for i in range(n):
-            add(key[:i] + key[i + 1 :], True)
-            for c in self.alphabet:
-                if c != key[i]:
-                    add(key[:i] + c + key[i + 1 :], frozenset((c, key[i])) in _PLAUSIBLE)
-        for i in range(n + 1):
-            for c in self.alphabet + "-'":
-                add(key[:i] + c + key[i:], True)
+        for i in range(len(key)):
+            without = key[:i] + key[i + 1 :]
+            add(without, True)
+            for w, j in lacking.get(without, ()):
+                if i == j and w != key:
+                    add(w, frozenset((w[i], key[i])) in _PLAUSIBLE)
+        for w, _ in lacking.get(key, ()):
+            add(w, True)
         if len(self._known) > 200_000:
             self._known.clear()
         got = self._known[key] = list(found.items())
@@ -245,15 +273,14 @@ class Lexicon:
         return float(v @ context) if v is not None and context is not None else 0.0
 
 
-def undigit(key: str) -> Iterator[str]:
-    """Readings of a token with digits and signs as the letters they look like."""
-    options = [""]
+def undigit(key: str, lex: Lexicon) -> Iterator[str]:
+    """The frequent words a token reads as with digits and signs as the letters
+    they look like; beginnings of no word are not followed."""
+    ways = [""]
     for c in key:
         subs = _GLYPHS.get(c, c if c.isalpha() or c in "-'’" else "")
-        options = [o + s for o in options for s in (subs or [""])]
-        if len(options) > 64:
-            return
-    yield from dict.fromkeys(options)
+        ways = [x for w in ways for s in (subs or [""]) if lex.starts_word(x := w + s)]
+    yield from (w for w in dict.fromkeys(ways) if lex.frequent(w))
 
 
 def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
@@ -270,7 +297,7 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
         letters = sum(x.isalpha() for x in key)
         if letters < 1 or (letters < 2 and len(key) > 3) or re.fullmatch(r"[a-z]{1,3}[.-]?\d+|\d+[a-z]{1,2}|\d[\d.,]*[-–][a-z]+", key):
             return None, 0
-        best = _choose([(w, True) for w in undigit(key) if lex.frequent(w)], lex, near, 1)
+        best = _choose([(w, True) for w in undigit(key, lex)], lex, near, 1)
         return (best or c), 1
     if lex.frequent(key):
         return _grown_apart(cores, i, key, lex)
@@ -315,20 +342,21 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     if name:
         # a name reads wrong if one of its letter groups hardly ever occurs and a plausible edit mends it
         rare = _rarity(key, lex)
-        if rare <= max(1, 2e-6 * lex.groups.get("", 0)):
+        if rare <= max(1, RARE_GROUP * lex.groups.get("", 0)):
             for a, b in _GROUPS:
                 j = key.find(a)
                 if j >= 0 and _rarity(key[:j] + b + key[j + len(a) :], lex) >= 30 * max(1, rare):
                     return key[:j] + b + key[j + len(a) :], 1
             for j in range(len(key)):
-                for s in lex.alphabet:
-                    if frozenset((s, key[j])) in _PLAUSIBLE and _rarity(key[:j] + s + key[j + 1 :], lex) >= 30 * max(1, rare):
+                for s in _PARTNERS.get(key[j], ()):
+                    if _rarity(key[:j] + s + key[j + 1 :], lex) >= 30 * max(1, rare):
                         return key[:j] + s + key[j + 1 :], 1
         return None, 0
     # a small letter's word no one knows, two edits from a frequent one, or the rest of a split name
     if count <= lex.rare and len(key) >= 5:
-        for w, _ in _two_edits(key, lex):
-            return w, 1
+        best = _choose(list(_two_edits(key, lex)), lex, near, 1)
+        if best:
+            return best, 1
     if count <= lex.rare and c[:1].islower() and i and cores[i - 1][:1].isupper() and len(key) >= 2 and not lex.frequent(fold(cores[i - 1])) and not lex.frequent(key):
         return None, 1
     return None, 0
@@ -366,7 +394,7 @@ def _name_like(key: str, lex: Lexicon) -> bool:
 
 def _rarity(key: str, lex: Lexicon) -> int:
     s = f"^{key}$"
-    return min((lex.groups.get(s[j : j + 3], 0) for j in range(len(s) - 2)), default=0)
+    return min((lex.group(s[j : j + 3]) for j in range(len(s) - 2)), default=0)
 
 
 def _grown_apart(cores: list[str], i: int, key: str, lex: Lexicon) -> tuple[str | None, int]:
@@ -416,16 +444,19 @@ def learn(pages: DataFrame) -> tuple[Lexicon, DataFrame]:
     def read(what: str, limit: int) -> pd.DataFrame:
         return counts.where((F.col("what") == what) & (F.col("n") >= limit)).select("a", "b", "n").toPandas()
 
-    w, p, g, f = read("word", max(2, least // 8)), read("pair", least_pair), read("group", 1), read("form", max(2, least // 8))
+    all_groups = counts.where("what = 'group'").agg(F.sum("n")).first()[0] or 0
+    # a verdict on a name tells groups apart from thirty times less than a rare one on
+    floor = int(RARE_GROUP * all_groups / 30)
+    w, p, g, f = read("word", max(2, least // 8)), read("pair", least_pair), read("group", floor + 1), read("form", max(2, least // 8))
     words = dict(zip(w["a"], w["n"].tolist(), strict=True))
     pairs = dict(zip(zip(p["a"], p["b"], strict=True), p["n"].tolist(), strict=True))
     groups = dict(zip(g["a"], g["n"].tolist(), strict=True))
-    groups[""] = sum(groups.values())
+    groups[""] = int(all_groups)
     best = f.sort_values(["n", "b"]).drop_duplicates("a", keep="last")
     forms = {a: b for a, b, n in zip(best["a"], best["b"], best["n"], strict=True) if 2 * n > words.get(a, 0)}
     vectors = _vectors(pages, least, {a for a, n in words.items() if n >= least})
     lex = Lexicon(words, pairs, groups, vectors, least, forms)
-    lex.pair_least = least_pair
+    lex.pair_least, lex.group_floor = least_pair, floor
     rest = counts.where((F.col("what") == "word") & (F.col("n") < lex.rare) | (F.col("what") == "pair") & (F.col("n") < least_pair))
     return lex, rest.select("a", "b", "n")
 
@@ -443,9 +474,9 @@ def with_counts(rows: DataFrame, key: list[str], lines_of, lex: Lexicon, rest: D
             yield pd.DataFrame(out, columns=[*key, "a", "b"])
 
     schema = ", ".join(f"{k} {t}" for k, t in rows.select(*key).dtypes)
-    found = rows.mapInPandas(want, f"{schema}, a string, b string").join(rest, ["a", "b"])
+    found = rows.mapInPandas(want, f"{schema}, a string, b string").join(rest.hint("merge"), ["a", "b"])
     known = found.groupBy(*key).agg(F.collect_list(F.struct("a", "b", "n")).alias("known"))
-    return rows.join(known, key, "left")
+    return rows.join(known.hint("merge"), key, "left")
 
 
 def _page_lines(row: dict, lex: Lexicon) -> list[list[str]]:
@@ -470,7 +501,7 @@ def _vectors(pages: DataFrame, least: int, known: set[str]) -> dict[str, np.ndar
     lines = lines.where("size(words) > 1")
     if lines.isEmpty():
         return {}
-    parts = max(1, min(12, pages.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, pages.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(vectorSize=VECTOR, minCount=least, windowSize=3, maxIter=1, stepSize=0.05, numPartitions=parts, seed=11, inputCol="words", outputCol="v").fit(lines)
     out: dict[str, np.ndarray] = {}
     for r in model.getVectors().toLocalIterator():
