@@ -1,10 +1,9 @@
 """Problem 4: statistics of every element's text and what kind of text it is.
 
-Counts and shares of characters, marks, lines and list signs are built-in
-expressions.  What needs the words in order runs in Arrow batches: repetition
-(duplicate lines and paragraphs, how much of the text its dominant word n-grams
-cover), common words and odd words.  Combined rules then tell prose from lists,
-tables, indexes, contents, boilerplate and junk.
+Characters, tokens and words are counted in Arrow batches, each text once: the
+usual ratios, and repetition (duplicate lines and paragraphs, how much of the
+text its dominant word n-grams cover).  Combined rules, one built-in expression,
+then tell prose from lists, tables, indexes, contents, boilerplate and junk.
 """
 
 from __future__ import annotations
@@ -18,14 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import WS
-
 MAX_COMMON = 100_000  # rows of common_words that may travel with a task
 
-#: What is measured on the words, in Python.
-WORD_MEASURES = (
-    "words int, letters_in_words int, top_char_share double, common_share double, duplicate_line_share double, duplicate_paragraph_share double, "
-    "top_word_share double, top_bigram_coverage double, top_trigram_coverage double, repeated_5gram_coverage double, numbers int, mixed int, odd_share double"
+MEASURES = (
+    "words int, mean_word_length double, symbol_share double, end_mark_share double, common_share double, digit_share double, "
+    "duplicate_line_share double, duplicate_paragraph_share double, top_word_share double, top_bigram_coverage double, top_trigram_coverage double, "
+    "repeated_5gram_coverage double, tokens int, longest int, solid int, letters int, digits int, eastern int, top_char_share double, commas int, "
+    "separators int, leaders int, items int, ends int, numbers int, mixed int, odd_share double"
 )
 STATISTICS = [
     "words", "mean_word_length", "symbol_share", "end_mark_share", "common_share", "digit_share", "duplicate_line_share", "duplicate_paragraph_share",
@@ -34,20 +32,26 @@ STATISTICS = [
 
 _CHAR = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0963\u0970-\u097f\u064b-\u065f])"
 _WORD = re.compile(rf"{_CHAR}+(?:[-'’·‐]{_CHAR}+)*")
+_SIGNS = re.compile(r"[\u0300-\u036f\u0900-\u097f\u064b-\u065f]")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:[-'’·‐][^\W\d_]+)*")  # the same where no signs are about
 _EASTERN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûãõäëïöüæœåø]", re.I)
 _MIXED = re.compile(r"(?=\w*\d)(?=\w*[^\W\d_])\w{3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-–]*[\W_]*$")
 _DIGIT = re.compile(r"\d")
 
-# Patterns of the built-in expressions.
-LETTER = r"\p{L}\x{900}-\x{97f}\x{64b}-\x{65f}"
-CLOSING = r"['\"”’»)\]」』]*"
-MARK_END = rf"[.!?…。！？।॥؟;:،,;·]{CLOSING}[{WS}]*$"
-SENTENCE_END = rf"(?:[.!?…。！？।॥؟]|(?<=[α-ωά-ώ]);){CLOSING}(?=[{WS}]|$)|[。！？]"
-LEADER = rf"(?:[.·…_‥][{WS}]?){{4,}}[{WS}]*[0-9]{{1,4}}|(?:[.·…_][{WS}]?){{6,}}"
-ITEM = rf"(?:(?<=[{WS}])|^)(?:[0-9]{{1,3}}[.)]|[-*•–])[{WS}]+(?=[^{WS}])"
-SEPARATOR = rf"[,;|/\t•·\n]|[{WS}]{{2,}}|[{WS}]-[{WS}]"
+_CLOSING = "'\"”’»)]」』"
+_END_MARKS = frozenset(".!?…。！？।॥؟")
+_EAST_ENDS = "。！？"
+_LINE_ENDS = _END_MARKS | frozenset("؟;:،,;·")
+_LEADER = re.compile(r"(?:[.·…_‥]\s?){4,}\s*\d{1,4}|(?:[.·…_]\s?){6,}")
+_LEADER_CHARS = ".·…_‥"
+_ITEM = re.compile(r"\d{1,3}[.)]|[-*•–]")
+_SEPARATOR = re.compile(r"[,;|/\t•·\n]|\s{2,}|\s-\s")
+_SEPARATORS = ",;|/•·"
+_GREEK = re.compile("[α-ωά-ώ]")
+#: The same in a pattern of built-in expressions.
+SENTENCE_END = r"(?:[.!?…。！？।॥؟]|(?<=[α-ωά-ώ]);)['\"”’»)\]」』]*(?=\s|$)|[。！？]"
 
 
 def common_by_language(common_words: DataFrame) -> dict[str, frozenset[str]]:
@@ -111,10 +115,10 @@ def languages_of(commons: dict[str, frozenset[str]]) -> dict[str, tuple[str, ...
     return {w: tuple(langs) for w, langs in by.items()}
 
 
-def common_share(counts: Counter, n: int, text: str, commons: dict[str, frozenset[str]], languages: dict[str, tuple[str, ...]]) -> float:
+def common_share(counts: Counter, n: int, text: str, eastern: int, solid: int, commons: dict[str, frozenset[str]], languages: dict[str, tuple[str, ...]]) -> float:
     """Greatest share of one language's common words; of scripts without spaces,
     the characters the common words cover."""
-    if not text.isascii() and (eastern := len(_EASTERN.findall(text))) > 0.3 * max(1, len(text.replace(" ", ""))):
+    if eastern > 0.3 * max(1, solid):
         cover = (sum(len(w) * text.count(w) for w in commons.get(k, ())) for k in ("ja", "zh"))
         return min(1.0, max(cover) / eastern)
     by: Counter[str] = Counter()
@@ -130,64 +134,91 @@ def _odd(word: str) -> int:
     return -1 if len(word) < 4 or not word.isascii() else int(not _VOWEL.search(word))
 
 
-_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+class _Kinds(dict):
+    """Whether a character is a letter (or a sign of one), a digit, an eastern letter."""
+
+    def __missing__(self, char: str) -> tuple[int, int, int]:
+        letter = char.isalpha() or "ऀ" <= char <= "ॿ" or "ً" <= char <= "ٟ"
+        kind = self[char] = int(letter), int(char.isdigit()), int(bool(_EASTERN.match(char)))
+        return kind
+
+
+_KINDS = _Kinds()
+
 
+def _ends(tokens: list[str], chars: Counter) -> int:
+    """Marks that end a sentence: at the end of a token, closing marks aside, and
+    the eastern ones anywhere."""
+    n = sum(chars[c] for c in _EAST_ENDS if c in chars)
+    for t in tokens:
+        bare = t.rstrip(_CLOSING)
+        last = bare[-1:]
+        if last in _END_MARKS and last not in _EAST_ENDS or last == ";" and _GREEK.fullmatch(bare[-2:-1]):
+            n += bool(last)
+    return n
 
-def measure(text: str, commons: dict[str, frozenset[str]], languages: dict[str, tuple[str, ...]]) -> tuple:
-    """``WORD_MEASURES`` of one text."""
+
+def _separators(text: str, tokens: list[str], chars: Counter, blanks: int) -> int:
+    if blanks != len(tokens) - 1 or text.count(" ") != blanks:
+        return len(_SEPARATOR.findall(text))  # line ends, tabs or wide gaps
+    return sum(chars[c] for c in _SEPARATORS if c in chars) + text.count(" - ")
+
+
+def measure(text: str, languages: dict[str, tuple[str, ...]], commons: dict[str, frozenset[str]]) -> tuple:
+    """``MEASURES`` of one text.  Characters are looked at once each kind, tokens
+    and words once; patterns run only where their characters occur."""
     low = text.lower()
-    words = _WORD.findall(low)
-    n, letters = len(words), sum(map(len, words))
+    words = (_PLAIN_WORD if low.isascii() or not _SIGNS.search(low) else _WORD).findall(low)
+    n, in_words = len(words), sum(map(len, words))
+    tokens = text.split()
     chars = Counter(low)
-    for c in _BLANKS if len(chars) > len(_BLANKS) else [c for c in chars if c.isspace()]:
-        chars.pop(c, None)
+    blanks = sum(chars.pop(c) for c in [c for c in chars if c.isspace()])
     solid = sum(chars.values())
-    lines = [x for x in text.split("\n") if x.strip()] if "\n" in text else []
-    numbers = mixed = 0
-    if _DIGIT.search(text):
-        with_digit = [t for t in text.split() if _DIGIT.search(t)]
+    letters = digits = eastern = 0
+    for c, k in chars.items():
+        letter, digit, east = _KINDS[c]
+        letters, digits, eastern = letters + k * letter, digits + k * digit, eastern + k * east
+    size = max(1, solid)
+    lines = [x for x in text.split("\n") if x.strip()] if "\n" in text else [text] if tokens else []
+    marks = sum((x.rstrip().rstrip(_CLOSING) or " ")[-1] in _LINE_ENDS for x in lines)
+    numbers = mixed = items = 0
+    if digits:
+        with_digit = [t for t in tokens if _DIGIT.search(t)]
         numbers = sum(bool(_NUMBER.match(t)) for t in with_digit)
         mixed = sum(bool(_MIXED.fullmatch(t.strip(".,;:!?()"))) for t in with_digit)
-    odd = [k for k in map(_odd, words) if k >= 0]
+    if digits or any(c in chars for c in "-*•–"):
+        items = sum(bool(_ITEM.fullmatch(t)) for t in [t for t in tokens[:-1] if len(t) <= 4 and t[-1] in ".)-*•–"])
     counts = Counter(words)
+    odd = [k for k in map(_odd, words) if k >= 0] if n >= 5 else []
     return (
         n,
-        letters,
-        max(chars.values()) / solid if solid else 0.0,
-        common_share(counts, n, text, commons, languages),
+        in_words / n if n else 0.0,
+        (solid - letters - digits) / size if solid else 0.0,
+        marks / len(lines) if lines else 0.0,
+        common_share(counts, n, text, eastern, solid, commons, languages),
+        digits / size,
         _duplicates(lines) if len(lines) > 1 else 0.0,
         _duplicates(text.split("\n\n")) if "\n\n" in text else 0.0,
         max(counts.values()) / n if n else 0.0,
-        *(repetition(words, letters) if len(counts) < n else (0.0, 0.0, 0.0)),
+        *(repetition(words, in_words) if len(counts) < n else (0.0, 0.0, 0.0)),
+        len(tokens),
+        max(map(len, tokens), default=0),
+        size,
+        letters,
+        digits,
+        eastern,
+        max(chars.values()) / solid if solid else 0.0,
+        chars[","] + chars[";"],
+        _separators(text, tokens, chars, blanks),
+        len(_LEADER.findall(text)) if sum(chars[c] for c in _LEADER_CHARS) >= 4 else 0,
+        items,
+        _ends(tokens, chars),
         numbers,
         mixed,
         sum(odd) / len(odd) if len(odd) >= 5 else 0.0,
     )
 
 
-def character_measures(t: Column) -> dict[str, Column]:
-    """Counts on the characters of a text, as built-in expressions."""
-    solid = F.regexp_replace(t, rf"[{WS}]+", "")
-    without = lambda keep: F.length(F.regexp_replace(t, rf"[^{keep}]+", ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^{WS}]"))
-    tokens = F.filter(F.split(t, rf"[{WS}]+"), lambda x: x != "")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    return {
-        "tokens": F.size(tokens),
-        "longest": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
-        "solid": F.greatest(F.lit(1), F.length(solid)),
-        "letters": without(LETTER),
-        "digits": without(r"\p{Nd}²³¹"),
-        "eastern": without(r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"),
-        "end_mark_share": F.coalesce(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(MARK_END))), F.size(lines)), F.lit(0.0)),
-        "leaders": count(LEADER),
-        "ends": count(SENTENCE_END),
-        "items": count(ITEM),
-        "separators": count(SEPARATOR),
-        "commas": count("[,;]"),
-    }
-
-
 REPEATED = 0.6  # said twice, a text is half repeated and may be prose yet; said three times, two thirds
 
 
@@ -199,7 +230,7 @@ def repetitive() -> Column:
     phrase = over("top_bigram_coverage") | over("top_trigram_coverage")
     passage = over("repeated_5gram_coverage") | over("duplicate_line_share") | over("duplicate_paragraph_share")
     spaced = F.col("eastern") <= 0.3 * F.col("solid")  # where nothing parts the words there are no phrases
-    return ((n >= 5) & (F.col("top_word_share") > 0.5)) | ((n >= 8) & ((phrase & spaced) | passage))
+    return ((n >= 5) & (F.col("top_word_share") > 0.5)) | ((n >= 12) & phrase & spaced) | ((n >= 8) & passage)
 
 
 def verdict(t: Column) -> Column:
@@ -220,7 +251,7 @@ def verdict(t: Column) -> Column:
     )
     return (
         F.when(tokens == 0, "blank")
-        .when((c("leaders") >= 2) | ((c("leaders") == 1) & t.rlike(rf"[0-9][{WS}]*$")), "contents")
+        .when((c("leaders") >= 2) | ((c("leaders") == 1) & t.rlike(r"[0-9]\s*$")), "contents")
         .when((solid >= 6) & (c("top_char_share") > 0.6), "junk")
         .when(repetitive(), F.when(c("top_word_share") > 0.5, "junk").otherwise("boilerplate"))
         .when(c("eastern") > 0.3 * solid, east)
@@ -255,25 +286,15 @@ def text_statistics(elements: DataFrame, common_words: DataFrame) -> DataFrame:
     languages = languages_of(commons)
     one = elements.groupBy("book_id", "el_seq", "kind").agg(F.max(element_text(F.col("runs"))).alias("text"))
 
-    @F.pandas_udf(WORD_MEASURES)
+    names = [c.split(" ")[0] for c in MEASURES.split(", ")]
+
+    @F.pandas_udf(MEASURES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in WORD_MEASURES.split(", ")]
         for s in texts:
-            yield pd.DataFrame([measure(t, commons, languages) for t in s], columns=names)
-
-    t = F.col("text")
-    # a generator of one row keeps filters on what follows from repeating the measures
-    counts = F.struct(*[c.alias(k) for k, c in character_measures(t).items()])
-    d = one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*", F.inline(F.array(counts)))
-    d = d.withColumns(
-        {
-            "mean_word_length": F.coalesce(F.try_divide("letters_in_words", "words"), F.lit(0.0)),
-            "symbol_share": F.when(F.col("tokens") > 0, (F.col("solid") - F.col("letters") - F.col("digits")) / F.col("solid")).otherwise(0.0),
-            "digit_share": F.col("digits") / F.col("solid"),
-            "verdict": verdict(t),
-        }
-    )
-    return d.select("book_id", "el_seq", "kind", "text", *STATISTICS, "verdict")
+            yield pd.DataFrame([measure(t, languages, commons) for t in s], columns=names)
+
+    d = one.withColumn("m", run("text")).select("book_id", "el_seq", "kind", "text", "m.*")
+    return d.select("book_id", "el_seq", "kind", "text", *STATISTICS, verdict(F.col("text")).alias("verdict"))
 
 
 def not_prose(elements: DataFrame, common_words: DataFrame) -> DataFrame:
