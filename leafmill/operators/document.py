@@ -15,10 +15,12 @@ SECTION_TITLES = {"toc": "Sumário", "notes": "Notas"}
 ELEMENT = ["book_id", "seq", "kind", "level", "marker", "runs", "text", "digest", "image_w", "image_h", "ext", "page"]
 
 
-def elements_of(classified: DataFrame, images: DataFrame, body_blocks: DataFrame) -> DataFrame:
+def elements_of(classified: DataFrame, images: DataFrame, body_blocks: DataFrame, before_drops: DataFrame | None = None) -> DataFrame:
     """Typed elements and images of every book in reading order (``seq``).
 
-    An image stands where its block is read, between the paragraphs around it.
+    An image stands where its block is read, between the paragraphs around it;
+    with ``before_drops``, the paragraphs as they were before any was dropped or
+    merged, it stands before the paragraph of the number it had among those.
     """
     runs = S.runs_of(F.col("lines"))
     runs = F.when(F.col("kind") == "list_item", S.strip_marker(runs)).otherwise(runs)
@@ -34,7 +36,21 @@ def elements_of(classified: DataFrame, images: DataFrame, body_blocks: DataFrame
         F.lit("").alias("marker"), F.array().cast("array<struct<text:string,bold:boolean,italic:boolean>>").alias("runs"),
         F.lit("").alias("text"), "digest", (F.col("x1") - F.col("x0")).alias("image_w"), (F.col("y1") - F.col("y0")).alias("image_h"), "ext",
     )
-    return _numbered(paras.unionByName(pictures)).select(*ELEMENT)
+    if before_drops is None:
+        return _numbered(paras.unionByName(pictures)).select(*ELEMENT)
+    return _by_ordinal(paras, pictures, before_drops).select(*ELEMENT)
+
+
+def _by_ordinal(paras: DataFrame, pictures: DataFrame, before_drops: DataFrame) -> DataFrame:
+    place = ["book_id", "page", "read_seq", "part", "kind"]
+    old = before_drops.select("book_id", "page", "read_seq", F.col("para").alias("part"), F.lit("paragraph").alias("kind"))
+    order = W.partitionBy("book_id").orderBy("page", "read_seq", "part", "kind")
+    counted = old.unionByName(pictures.select(*place)).withColumn("no", F.count_if(F.col("kind") != "image").over(order))
+    numbers = _numbered(paras.select(*place, "digest")).select(*place, F.col("seq").cast("long").alias("no")).unionByName(counted.where("kind = 'image'").distinct())
+    # at one number images come first, among themselves as they are read
+    seq = F.row_number().over(W.partitionBy("book_id").orderBy("no", F.col("kind") != "image", "page", "read_seq", "part")) - 1
+    places = numbers.withColumn("seq", seq.cast("int")).select(*place, "seq")
+    return paras.unionByName(pictures).join(places, place)
 
 
 def _numbered(items: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,6 +14,8 @@ from leafmill.operators import layout as L
 from leafmill.operators import structure as S
 from leafmill.options import Options
 from leafmill.session import cut, table
+from leafmill.sources.recognition import recognised_lines
+from leafmill.sources.spans import IMAGE_SCHEMA, PAGE_SCHEMA, PdfDataSource, clean_metadata
 
 
 @dataclass
@@ -24,9 +27,29 @@ class Inputs:
     page_info: DataFrame
     books: DataFrame
 
+    #: ``book_id, page, image`` of rendered pages, for recognition.
+    page_images: DataFrame | None = None
+
     @classmethod
     def read(cls, spark: SparkSession, d: str) -> Inputs:
-        return cls(*(table(spark, d, t) for t in ("span_facts", "image_facts", "page_info", "books")))
+        spans, images, page_info, books = (table(spark, d, t) for t in ("span_facts", "image_facts", "page_info", "books"))
+        return cls(spans, images, page_info, books.withColumn("metadata", clean_metadata(F.col("metadata"))))
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, paths: list[str]) -> Inputs:
+        """From PDF files or globs, decoded on the executors."""
+        spark.dataSource.register(PdfDataSource)
+        load = lambda t: spark.read.format(PdfDataSource.name()).option("paths", "\n".join(paths)).option("table", t).load()
+        return cls(*(load(t) for t in ("spans", "images", "pages", "books")))
+
+    @classmethod
+    def of_spans(cls, spans: DataFrame) -> Inputs:
+        """From spans alone: no images, pages of the usual size, books named by
+        their id."""
+        spark = spans.sparkSession
+        books = spans.where("book_id is not null").select("book_id").distinct()
+        books = books.select("book_id", F.col("book_id").alias("path"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("map<string,string>").alias("metadata"))
+        return cls(spans, spark.createDataFrame([], IMAGE_SCHEMA), spark.createDataFrame([], PAGE_SCHEMA), books)
 
 
 class Conversion:
@@ -36,13 +59,30 @@ class Conversion:
     they are computed once and no plan grows with the number of stages.
     """
 
-    def __init__(self, inputs: Inputs, options: Options | None = None):
+    def __init__(self, inputs: Inputs, options: Options | None = None, recogniser: Callable[[bytes, str, int], list[dict]] | None = None, languages: Sequence[str] = ()):
+        """``recogniser`` reads a page image, given the languages and resolution of
+        the options; ``languages`` are those it has data for."""
         self.inputs, self.options = inputs, options or Options()
+        self.recogniser, self.languages = recogniser, languages
 
     @cached_property
-    def all_lines(self) -> DataFrame:
+    def text_lines(self) -> DataFrame:
+        """Lines of the text layer."""
         return cut(L.lines_of(self.inputs.spans))
 
+    @cached_property
+    def recognised(self) -> tuple[DataFrame, DataFrame]:
+        """Lines with recognised pages in place, and the pages tried."""
+        if self.recogniser is None or self.inputs.page_images is None:
+            return self.text_lines, self.text_lines.select(*L.PAGE, F.lit(False).alias("failed")).limit(0)
+        pages = L.page_counts(self.inputs.books, self.text_lines)
+        lines, tried = recognised_lines(self.text_lines, pages, self.inputs.page_images, self.recogniser, self.languages, self.options)
+        return cut(lines), tried
+
+    @cached_property
+    def all_lines(self) -> DataFrame:
+        return self.recognised[0]
+
     @cached_property
     def pages(self) -> DataFrame:
         return cut(L.page_counts(self.inputs.books, self.all_lines))
@@ -53,7 +93,11 @@ class Conversion:
 
     @cached_property
     def images(self) -> DataFrame:
-        return cut(L.kept_images(L.images_of(self.inputs.images, self.inputs.page_info, self.options.keep_images), self.text))
+        return cut(L.kept_images(self.found_images, self.text))
+
+    @cached_property
+    def found_images(self) -> DataFrame:
+        return L.images_of(self.inputs.images, self.inputs.page_info, self.options.keep_images)
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -85,12 +129,16 @@ class Conversion:
 
     @cached_property
     def classified(self) -> DataFrame:
-        bodied = cut(S.without_running_titles(self.merged))
-        return cut(S.classify(bodied, S.heading_anchors(bodied.where(S.is_heading()))))
+        return cut(S.classify(self.bodied, S.heading_anchors(self.bodied.where(S.is_heading()))))
+
+    @cached_property
+    def bodied(self) -> DataFrame:
+        return cut(S.without_running_titles(self.merged))
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return cut(D.elements_of(self.classified, self.images, self.blocks))
+        before_drops = self.paragraphs if self.options.compat_image_anchor else None
+        return cut(D.elements_of(self.classified, self.images, self.blocks, before_drops))
 
     @cached_property
     def elements(self) -> DataFrame:
@@ -106,11 +154,21 @@ class Conversion:
 
     @cached_property
     def stats(self) -> DataFrame:
-        """Figures of each book, with the counts of what was left out."""
-        toc = S.toc_pages(self.paragraphs).groupBy("book_id").agg(F.count("*").alias("toc_pages_dropped"))
+        """Figures of each book, with the counts of what was left out or read anew."""
         figures = D.book_stats(self.elements, self.notes, self.inputs.books, self.body)
-        scanned = self.text.select("book_id", "scanned")
-        return figures.join(toc, "book_id", "left").join(scanned, "book_id", "left").fillna({"toc_pages_dropped": 0})
+        figures = figures.join(self.text.select("book_id", "scanned"), "book_id", "left")
+        for counted in self._counters():
+            figures = figures.join(counted, "book_id", "left")
+        return figures.fillna(0, ["toc_pages_dropped", "running_titles_dropped", "full_page_images_dropped", "recognised_pages", "failed_pages"])
+
+    def _counters(self) -> Iterator[DataFrame]:
+        n = lambda df, name: df.groupBy("book_id").agg(F.count("*").alias(name))
+        yield n(S.toc_pages(self.paragraphs), "toc_pages_dropped")
+        titles = n(self.merged, "before").join(n(self.bodied, "after"), "book_id", "left")
+        yield titles.select("book_id", (F.col("before") - F.coalesce("after", F.lit(0))).alias("running_titles_dropped"))
+        covering = self.found_images.where("full_page").join(self.text.where("drops_full_page").select("book_id"), "book_id", "left_semi")
+        yield n(covering, "full_page_images_dropped")
+        yield self.recognised[1].groupBy("book_id").agg(F.count_if(~F.col("failed")).alias("recognised_pages"), F.count_if("failed").alias("failed_pages"))
 
     def styled(self) -> DataFrame:
         d = D.front_duplicates(self.elements, self.titles)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators import layout as L
+from leafmill.options import Options
+from leafmill.plans.pipeline import Conversion, Inputs
 from leafmill.sources.spans import SPAN_SCHEMA
 
 
@@ -30,6 +32,15 @@ def convert_stream(spans: DataFrame, handle: Callable[[DataFrame, int], None], c
     return spans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def convert_books_stream(spans: DataFrame, handle: Callable[[Conversion, int], None], checkpoint: str, options: Options | None = None) -> StreamingQuery:
+    """Start a query that hands ``handle`` the whole conversion of every batch."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        handle(Conversion(Inputs.of_spans(df), options), batch_id)
+
+    return spans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def job_windows(jobs: DataFrame, window: str = "1 hour", late: str = "7 days") -> DataFrame:
     """Finished and failed jobs a window of event time; works on streams and tables.
 

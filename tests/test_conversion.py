@@ -98,6 +98,37 @@ def test_rendered_file(done):
     assert "updateFields" in z.read("word/settings.xml").decode()
 
 
+def test_notes_keep_their_runs(spark):
+    k = sample()
+    k.add(5, [[("2 A note with ", 0), ("bold words", 16), (" in it.", 2)]], top=500, size=7)
+    c = Conversion(frames(spark, k))
+    data = docx.documents(c.styled(), c.notes, c.titles).first()["docx"]
+    xml = zipfile.ZipFile(io.BytesIO(bytes(data))).read("word/document.xml").decode()
+    assert '<w:rPr><w:b/></w:rPr><w:t xml:space="preserve">bold words</w:t>' in xml and '<w:rPr><w:i/></w:rPr><w:t xml:space="preserve"> in it.</w:t>' in xml
+
+
+def test_body_size_weighs_spans_not_lines(spark):
+    k = Book("m")
+    for n in range(3):
+        k.add(0, [[("small words of the body text", 0), ("BIG", 0)]], top=100 + 30 * n)
+    rows = [(*r[:6], 10.0 if "small" in r[5] else 30.0, *r[7:]) for r in k.rows]
+    k.rows = rows
+    assert Conversion(frames(spark, k, pages=1)).body.first()["body"] == 10.0
+
+
+def test_figures_by_old_paragraph_numbers(spark):
+    k = Book("f")
+    for n in range(6):
+        k.add(0, [f"Part {n} . . . . . . . {n + 3}"], top=100 + 22 * n)
+    k.add(1, ["The first paragraph of the text."], top=100)
+    k.add(1, ["The second paragraph of the text."], top=160)
+    image = [("f", 1, 0, 40.0, 60.0, 240.0, 90.0, PNG, "png"), ("f", 1, 9, 40.0, 130.0, 280.0, 155.0, PNG + b"2", "png")]
+    image = [(*i[:4], i[4], i[5], i[4] + 60, *i[7:]) for i in image]
+    kinds = lambda o: [r["kind"] for r in Conversion(frames(spark, k, image, pages=2), o).elements.orderBy("seq").collect()]
+    assert kinds(Options()) != kinds(Options(compat_image_anchor=True))
+    assert kinds(Options(compat_image_anchor=True))[-1] == "image"
+
+
 def test_options_change_the_file(done):
     plain = Options(toc=False, title_page=False, justify=False, font="Arial", body_pt=14)
     data = docx.documents(done.styled(), done.notes, done.titles, None, plain).first()["docx"]

@@ -93,3 +93,59 @@ def test_documents_without_a_source_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["book_id"]: (r["pages"], r["lines"]) for r in catalog.queries()["document_lines_all"](spark, str(tmp_path)).collect()}
     assert got == {"s": (1, 2), "(no source)": (2, 3)}
+
+
+def test_recognised_pages_take_the_place_of_the_text_layer(spark):
+    from leafmill.options import Options
+    from leafmill.plans.pipeline import Conversion
+    from leafmill.operators.document import warnings_of
+    from tests.sample import Book, frames
+
+    k = Book("scan")
+    k.add(0, ["x"])
+    k.add(1, ["kept as it is"])
+    inputs = frames(spark, k, pages=2)
+    inputs.page_images = spark.createDataFrame([("scan", 0, b"good"), ("scan", 1, b"bad")], "book_id string, page int, image binary")
+
+    def read(image, lang, dpi):
+        if image == b"bad":
+            raise ValueError("unreadable")
+        return [{"text": f"A recognised line in {lang} at {dpi}.", "size": 10, "bbox": (40, 200, 300, 212)}]
+
+    c = Conversion(inputs, Options(ocr_dpi=200), read, ["eng", "deu"])
+    assert [r["text"] for r in c.elements.orderBy("seq").collect()] == ["A recognised line in eng at 200.", "kept as it is"]
+    r = c.stats.first()
+    assert (r["recognised_pages"], r["failed_pages"]) == (1, 1)
+    assert len(warnings_of(c.stats).first()["warnings"]) == 2
+    assert Conversion(inputs, Options(ocr="off"), read, ["eng"]).recognised[1].count() == 0
+
+
+def test_recognition_data(tmp_path, monkeypatch):
+    from leafmill.sources import recognition
+
+    monkeypatch.delenv("TESSDATA_PREFIX", raising=False)
+    for folder, languages in (("a", ()), ("b", ("por", "eng")), ("c", ("deu",))):
+        (tmp_path / folder).mkdir()
+        for lang in languages:
+            (tmp_path / folder / f"{lang}.traineddata").write_bytes(b"")
+    folders = [str(tmp_path / x) for x in "abc"]
+    assert recognition.data_folder(folders) == folders[1]
+    assert recognition.languages_in(folders[1]) == ["eng", "por"]
+    monkeypatch.setenv("TESSDATA_PREFIX", folders[2])
+    assert recognition.data_folder(folders) == folders[2]
+    assert recognition.data_folder([]) == folders[2] and recognition.languages_in(None) == []
+
+
+def test_whole_conversion_of_a_batch(spark, tmp_path):
+    spark.createDataFrame(sample().rows, SPAN_TYPES).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = ingest.convert_books_stream(ingest.stream_spans(spark, str(tmp_path / "in")), lambda c, n: seen.append(c.elements.where("kind = 'heading'").count()), str(tmp_path / "cp"))
+    q.awaitTermination(200)
+    assert sum(seen) > 3
+
+
+def test_ranks_across_stretches_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(src, "PAGE_STRETCH", 3)
+    d = spark.createDataFrame([(i, "t", "s" if i % 2 else None) for i in range(1, 21)], "doc_id long, text string, source string")
+    got = {(r["book_id"], r["page"]) for r in src.documents_as_lines(d).collect()}
+    assert got == {("s", p) for p in range(10)} | {(src.NO_SOURCE, p) for p in range(10)}
