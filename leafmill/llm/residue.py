@@ -151,13 +151,14 @@ class Words:
         self.number: dict[str, int] = {}
         self.sums = np.zeros((1024, 64), dtype=np.int16)
 
-    def fold(self, word: str) -> str:
-        got = self.folded.get(word)
-        if got is None:
-            if len(self.folded) >= KNOWN_WORDS:
-                self.folded.clear()
-            got = self.folded[word] = re.sub(r"\d+", "0", fold(word))
-        return got
+    def learn(self, words: set[str]) -> None:
+        """Make sure that ``folded`` holds these words."""
+        new = words.difference(self.folded)
+        if new and len(self.folded) >= KNOWN_WORDS:
+            self.folded.clear()
+            new = words
+        for w in new:
+            self.folded[w] = re.sub(r"\d+", "0", fold(w))
 
     def forget(self) -> None:
         """Start anew once too many words are known; never while ids are in use."""
@@ -181,13 +182,18 @@ class Words:
         out = []
         for a in range(0, len(sets), 4096):
             part = sets[a : a + 4096]
-            ids = [self.id(w) for s in part for w in s]
+            for w in set().union(*part).difference(self.number):
+                self.id(w)
+            number = self.number
+            ids = [number[w] for s in part for w in s]
             first = np.concatenate(([0], np.cumsum([len(s) for s in part])[:-1]))
             out.append(pack(np.add.reduceat(self.sums[ids].astype(np.int32), first, axis=0)))
         return np.concatenate(out).view(np.int64)
 
     def of(self, unit: str) -> list[str]:
-        return sorted({self.fold(w) for w in _WORD.findall(unit)} - {""})
+        words = _WORD.findall(unit)
+        self.learn(set(words))
+        return sorted({self.folded[w] for w in words} - {""})
 
 
 def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,9 +207,11 @@ def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if _OPENING.search(text) and any(map(unfilled, _joined(lines))):
                 unset.append(doc)
             seen: set[str] = set()
-            for u in spread_units(lines):
+            known.learn({w for line in lines for w in _WORD.findall(line)})
+            folded = known.folded
+            for u in dict.fromkeys(spread_units(lines)):
                 all_ = _WORD.findall(u)
-                words = sorted({known.fold(w) for w in all_} - {""})
+                words = sorted({folded[w] for w in all_} - {""})
                 key = " ".join(words)
                 if key and key not in seen:
                     seen.add(key)
