@@ -140,6 +140,26 @@ def one_script(word: Column) -> Column:
     )
 
 
+_LEAD, _VOWEL, _TAIL = "\\x{1100}-\\x{1112}", "\\x{1161}-\\x{1175}", "\\x{11a8}-\\x{11c2}"
+_JAMO_PAIR = f"[{_LEAD}][{_VOWEL}]|[\\x{{ac00}}-\\x{{d7a3}}][{_TAIL}]"
+_JAMO = f"[{_LEAD}][{_VOWEL}][{_TAIL}]?|[\\x{{ac00}}-\\x{{d7a3}}][{_TAIL}]|(?s)."
+
+
+def composed_hangul(text: Column) -> Column:
+    """Decomposed Hangul as syllables, by the arithmetic of the standard; a tail
+    joins only a syllable that has none."""
+
+    def one(part: Column) -> Column:
+        code = lambda i: F.ascii(F.substring(part, i, 1))
+        first, last = code(1), code(2)
+        of_jamo = F.lit(0xAC00) + ((first - 0x1100) * 21 + (last - 0x1161)) * 28 + F.when(F.length(part) == 3, code(3) - 0x11A7).otherwise(0)
+        open_ = (F.length(part) == 2) & first.between(0xAC00, 0xD7A3) & ((first - 0xAC00) % 28 == 0)
+        letter = lambda o: F.decode(F.unhex(F.lpad(F.hex(o), 8, "0")), "UTF-32")
+        return F.when(first.between(0x1100, 0x1112) & (F.length(part) > 1), letter(of_jamo)).when(open_, letter(first + last - 0x11A7)).otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_JAMO), 0), one), "")
+
+
 def _rejoined(parts: DataFrame, key: list[str], part: str) -> DataFrame:
     return parts.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", part)))[part], "").alias("plain"))
 
@@ -169,6 +189,7 @@ def consistent(texts: DataFrame, key: list[str], text: str = "text") -> DataFram
     step2 = step1.withColumn(
         "plain", F.when(F.col("plain").rlike(_MIXED), F.array_join(F.transform(words, one_script), "")).otherwise(F.col("plain"))
     )
+    step2 = step2.withColumn("plain", F.when(F.col("plain").rlike(_JAMO_PAIR), composed_hangul(F.col("plain"))).otherwise(F.col("plain")))
     has_marks = F.col("plain").rlike(r"\p{M}")
     clusters = step2.where(has_marks).select(
         *key, F.posexplode(F.regexp_extract_all("plain", F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), 0)).alias("pos", "raw")

@@ -145,6 +145,14 @@ def test_consistent_forms(spark):
         assert got.get(100 + i, t) == t
 
 
+def test_hangul_is_composed(spark):
+    import unicodedata
+
+    plain = ["한국어 문장", "가각", "값이 없다", "학교"]
+    d = spark.createDataFrame([(i, unicodedata.normalize("NFD", t)) for i, t in enumerate(plain)] + [(9, "가\u11a8")], "i int, text string")
+    assert keys(lookalike.consistent(d, ["i"]), "i", "plain") == [*enumerate(plain), (9, "각")]
+
+
 def test_places_leave_garbled_spans_out(spark):
     s = spark.createDataFrame([("b", 0, 0, 0, 0, "ｄａｔａ", "F"), ("b", 0, 0, 0, 1, "relÃ³gio ｄａｔａ", "F"), ("b", 0, 0, 0, 2, "data", "F")], "book_id string, page int, block_seq int, line_seq int, span_seq int, text string, font string")
     e = spark.createDataFrame([("b", 3, [("plain", False, False), ("rоom", False, False)]), ("b", 4, None), ("b", 3, [("plain", False, False), ("rоom", False, False)])], "book_id string, el_seq int, runs array<struct<text:string,bold:boolean,italic:boolean>>")
