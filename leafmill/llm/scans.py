@@ -10,6 +10,7 @@ furniture and with the corrections applied.
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.textkeys import fold, is_page_number
+from leafmill.llm import textkeys
+from leafmill.llm.textkeys import is_page_number
 from leafmill.session import cut
 
+fold = functools.lru_cache(200_000)(textkeys.fold)  # words come again and again
+
 LINE_KEY = ["book_id", "page", "block_seq", "line_seq"]
 SMALL = 0.87  # share of the body size under which a line at the edge is furniture
 MIN_COUNT = 4
@@ -96,6 +100,7 @@ def tokens_of(text: str) -> list[str]:
     return text.split()
 
 
+@functools.lru_cache(200_000)
 def core(token: str) -> str:
     """A token without marks at its edges."""
     return _EDGE.sub("", token)
@@ -283,6 +288,10 @@ def undigit(key: str, lex: Lexicon) -> Iterator[str]:
     yield from (w for w in dict.fromkeys(ways) if lex.frequent(w))
 
 
+def _near(cores: list[str], i: int) -> list[str]:
+    return [fold(x) for x in cores[max(0, i - 3) : i] + cores[i + 1 : i + 4]]
+
+
 def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     """The correction of token ``i`` of a line and how many tokens it replaces
     (0: the token is sound)."""
@@ -290,14 +299,13 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
     key = fold(c)
     if not key or not _LETTER.search(key):
         return None, 0
-    near = [fold(x) for x in cores[max(0, i - 3) : i] + cores[i + 1 : i + 4]]
     if _DIGIT.search(key) or _SYMBOL.search(key):
         if _ORDINAL.match(c) or (_SYMBOL.search(key) and not _DIGIT.search(key) and re.fullmatch(r"[^\W\d_]+(?:[/&][^\W\d_]+)+", c)):
             return None, 0
         letters = sum(x.isalpha() for x in key)
         if letters < 1 or (letters < 2 and len(key) > 3) or re.fullmatch(r"[a-z]{1,3}[.-]?\d+|\d+[a-z]{1,2}|\d[\d.,]*[-–][a-z]+", key):
             return None, 0
-        best = _choose([(w, True) for w in undigit(key, lex)], lex, near, 1)
+        best = _choose([(w, True) for w in undigit(key, lex)], lex, _near(cores, i), 1)
         return (best or c), 1
     if lex.frequent(key):
         return _grown_apart(cores, i, key, lex)
@@ -336,7 +344,7 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
         ok = [(w, p) for w, p in ok if lex.words[w] >= 10 * RATIO * max(1, count)]
     if name and ok and _name_like(key, lex):
         ok = [x for x in ok if lex.words[x[0]] >= 10 * RATIO * max(1, count)]
-    best = _choose(ok, lex, near, max(1, count))
+    best = _choose(ok, lex, _near(cores, i), max(1, count)) if ok else None
     if best:
         return best, 1
     if name:
@@ -354,7 +362,7 @@ def misread(cores: list[str], i: int, lex: Lexicon) -> tuple[str | None, int]:
         return None, 0
     # a small letter's word no one knows, two edits from a frequent one, or the rest of a split name
     if count <= lex.rare and len(key) >= 5:
-        best = _choose(list(_two_edits(key, lex)), lex, near, 1)
+        best = _choose(list(_two_edits(key, lex)), lex, _near(cores, i), 1)
         if best:
             return best, 1
     if count <= lex.rare and c[:1].islower() and i and cores[i - 1][:1].isupper() and len(key) >= 2 and not lex.frequent(fold(cores[i - 1])) and not lex.frequent(key):
@@ -403,11 +411,11 @@ def _grown_apart(cores: list[str], i: int, key: str, lex: Lexicon) -> tuple[str
     if i + 1 >= len(cores):
         return None, 0
     nxt = fold(cores[i + 1])
-    if not _PLAIN_INNER.sub("", nxt).isalpha() or not _PLAIN_INNER.sub("", key).isalpha() or cores[i + 1][:1].isupper() and not cores[i].isupper():
-        return None, 0
     joined = lex.words.get(key + nxt, 0)
     if joined < lex.least:
         return None, 0
+    if not _PLAIN_INNER.sub("", nxt).isalpha() or not _PLAIN_INNER.sub("", key).isalpha() or cores[i + 1][:1].isupper() and not cores[i].isupper():
+        return None, 0
     pair = lex.pair(key, nxt)
     both = lex.frequent(key) and lex.frequent(nxt)
     if pair * RATIO > joined or (both and (pair >= 3 or min(len(key), len(nxt)) < 2 or joined < 100)):
