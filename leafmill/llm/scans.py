@@ -738,11 +738,15 @@ def reflowed_paragraphs(book_lines: DataFrame) -> DataFrame:
 
     pages = cut(pages_of(without_repeated_lines(book_lines)))
     lex, rest = learn(pages)
-    parts = with_counts(pages, ["book_id", "page"], _page_lines, lex, rest).mapInPandas(lambda it: _page_paragraphs(it, lex), "book_id string, page int, seq int, text string")
+    parts = cut(with_counts(pages, ["book_id", "page"], _page_lines, lex, rest).mapInPandas(lambda it: _page_paragraphs(it, lex), "book_id string, page int, seq int, text string"))
+    # the window over a book sees flags only; the texts are joined to the numbers
+    ended, lower = F.col("text").rlike(r"[.!?…:][”»\"')]*$"), F.col("text").rlike(r"^\p{Ll}")
     order = W.partitionBy("book_id").orderBy("page", "seq")
-    before = F.lag("text").over(order)
-    runs_on = (F.col("seq") == 0) & before.isNotNull() & (~before.rlike(r"[.!?…:][”»\"')]*$") | F.col("text").rlike(r"^\p{Ll}"))
-    numbered = parts.withColumn("new", F.when(runs_on, 0).otherwise(1)).withColumn("para_seq", F.sum("new").over(order))
+    flags = parts.select("book_id", "page", "seq", ended.alias("ended"), lower.alias("lower"))
+    before = F.lag("ended").over(order)
+    runs_on = (F.col("seq") == 0) & before.isNotNull() & (~before | F.col("lower"))
+    numbers = flags.withColumn("new", F.when(runs_on, 0).otherwise(1)).withColumn("para_seq", F.sum("new").over(order)).select("book_id", "page", "seq", "para_seq")
+    numbered = parts.join(numbers.hint("merge"), ["book_id", "page", "seq"])
     joined = F.array_join(F.sort_array(F.collect_list(F.struct("page", "seq", "text")))["text"], " ")
     return (
         numbered.groupBy("book_id", "para_seq")
