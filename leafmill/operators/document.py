@@ -104,8 +104,8 @@ def inferred_titles(elements: DataFrame, books: DataFrame, options: Options | No
     return j.select("book_id", "title", "author")
 
 
-def book_stats(elements: DataFrame, notes: DataFrame, books: DataFrame, body: DataFrame) -> DataFrame:
-    """One row of figures a book; books without elements count zero."""
+def book_stats(elements: DataFrame, notes: DataFrame, books: DataFrame, body: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """One row of figures a book; books without elements or pages count zero."""
     n = elements.groupBy("book_id").agg(
         F.count("*").alias("elements"),
         F.count_if(F.col("kind") == "heading").alias("headings"),
@@ -114,11 +114,11 @@ def book_stats(elements: DataFrame, notes: DataFrame, books: DataFrame, body: Da
         F.count_if(F.col("kind") == "note").alias("inline_notes"),
     )
     e = notes.groupBy("book_id").agg(F.count("*").alias("end_notes"))
-    pages = books.groupBy("book_id").agg(F.max("page_count").cast("long").alias("pages"))
+    pages = books.select("book_id").distinct().join(page_counts.select("book_id", "pages"), "book_id", "left")
     j = pages.join(n, "book_id", "left").join(e, "book_id", "left").join(body, "book_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return j.select(
-        "book_id", "pages", zero("elements").alias("elements"), zero("headings").alias("headings"), zero("paragraphs").alias("paragraphs"),
+        "book_id", zero("pages").alias("pages"), zero("elements").alias("elements"), zero("headings").alias("headings"), zero("paragraphs").alias("paragraphs"),
         zero("images").alias("images"), (zero("inline_notes") + zero("end_notes")).alias("notes"),
         F.coalesce("body", F.lit(10.0)).alias("body_font_size"),
     )

@@ -155,7 +155,7 @@ class Conversion:
     @cached_property
     def stats(self) -> DataFrame:
         """Figures of each book, with the counts of what was left out or read anew."""
-        figures = D.book_stats(self.elements, self.notes, self.inputs.books, self.body)
+        figures = D.book_stats(self.elements, self.notes, self.inputs.books, self.body, self.pages)
         figures = figures.join(self.text.select("book_id", "scanned"), "book_id", "left")
         for counted in self._counters():
             figures = figures.join(counted, "book_id", "left")

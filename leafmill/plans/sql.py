@@ -363,14 +363,14 @@ ORACLES: dict[str, str] = {
         FROM fe JOIN er USING (book_id, island)""", "fe", "er"),
     "title_author": query(rf"""SELECT book_id, title, CASE WHEN said <> '' THEN said WHEN len(front) BETWEEN 2 AND 4 THEN
         coalesce(list_filter(front[2:], lambda t: length(t) > 3 AND length(t) <= 60 AND NOT {_has('t', '[.!?]$')} AND t <> title)[1], '') ELSE '' END AS author FROM ti""", "ti"),
-    "book_stats": query(f"""SELECT book_id, CAST(page_count AS BIGINT) AS pages, coalesce(elements, 0) AS elements, coalesce(headings, 0) AS headings, coalesce(paragraphs, 0) AS paragraphs,
+    "book_stats": query(f"""SELECT book_id, coalesce(p.pages, 0) AS pages, coalesce(elements, 0) AS elements, coalesce(headings, 0) AS headings, coalesce(paragraphs, 0) AS paragraphs,
         coalesce(images, 0) AS images, coalesce(notes, 0) AS notes, coalesce(body, 10.0) AS body_font_size, coalesce(toc, 0) AS toc_pages_dropped, per < 80 AS scanned,
-        coalesce(titles, 0) AS running_titles_dropped, coalesce(covering, 0) AS full_page_images_dropped, 0::BIGINT AS recognised_pages, 0::BIGINT AS failed_pages FROM bk
+        coalesce(titles, 0) AS running_titles_dropped, coalesce(covering, 0) AS full_page_images_dropped, 0::BIGINT AS recognised_pages, 0::BIGINT AS failed_pages FROM bk LEFT JOIN pages p USING (book_id)
         LEFT JOIN (SELECT book_id, count(*) AS titles FROM mt WHERE runs GROUP BY 1) USING (book_id)
         LEFT JOIN (SELECT book_id, count(*) AS covering FROM im0 JOIN tx USING (book_id) WHERE full_page AND per >= 200 GROUP BY 1) USING (book_id)
         LEFT JOIN (SELECT book_id, count(*) AS elements, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'paragraph') AS paragraphs, count(*) FILTER (kind = 'image') AS images FROM fe GROUP BY 1) USING (book_id)
         LEFT JOIN (SELECT book_id, count(*) AS notes FROM ord WHERE kind = 'note' AND length({_trim('text')}) > 2 GROUP BY 1) USING (book_id)
-        LEFT JOIN body USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS toc FROM tocp GROUP BY 1) USING (book_id) LEFT JOIN tx USING (book_id)""", "bk", "fe", "ord", "body", "tocp", "tx", "mt", "im0"),
+        LEFT JOIN body USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS toc FROM tocp GROUP BY 1) USING (book_id) LEFT JOIN tx USING (book_id)""", "bk", "pages", "fe", "ord", "body", "tocp", "tx", "mt", "im0"),
     "image_digests": query("SELECT book_id, digest, count(*) AS n, count(DISTINCT page) AS n_pages FROM im0 GROUP BY ALL", "im0"),
     "page_coverage": """SELECT book_id, page, round(max(width), 4) AS width, round(max(height), 4) AS height FROM page_info GROUP BY ALL""",
     "recognition_plan": query("""SELECT p.book_id, p.page, CAST(coalesce(n, 0) AS BIGINT) AS chars, NOT coalesce(has_text, false) AND coalesce(n, 0) < 100 AS recognise FROM
