@@ -262,7 +262,10 @@ def probes(fingerprints: DataFrame) -> DataFrame:
 def within_radius(tables: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """``fingerprint, of_fingerprint`` of all pairs at most ``RADIUS`` bits apart;
     ``tables`` has ``fingerprint, block, value`` of all, four rows each."""
-    of = broadcast_if_small(probes(fingerprints.withColumnRenamed("fingerprint", "of_fingerprint")))
+    every = probes(fingerprints.withColumnRenamed("fingerprint", "of_fingerprint"))
+    of = broadcast_if_small(every)
+    if of is every:  # too many; a run must not broadcast them by itself either
+        of = every.hint("shuffle_hash")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_fingerprint"))) <= RADIUS
     return tables.join(of, ["block", "value"]).where(near).select("fingerprint", "of_fingerprint").distinct()
 
